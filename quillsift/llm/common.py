@@ -135,3 +135,31 @@ def shingle_sets(raw: np.ndarray, offs: np.ndarray, words: int = 5) -> list[np.n
 def native_word_count(text: str):
     """The number of `[^\\x20\\x09-\\x0D]+` in a text column, 0 for null, by built-in functions alone."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+class IntTable:
+    """Places of distinct 64-bit keys by vectorised lookup: one place a key in a power-of-two table, the crowded rest sorted."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 19):
+        self.bits = bits
+        place = self._place(keys)
+        first = np.unique(place, return_index=True)[1]
+        self.keys, self.at = np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int64)
+        self.keys[place[first]], self.at[place[first]] = keys[first], first
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest], kind="stable")]
+        self.crowded = np.zeros(1 << bits, bool)
+        self.crowded[place[rest]] = True
+        self.more, self.more_at = keys[rest], rest
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The index of each key, -1 if it isn't there."""
+        place = self._place(keys)
+        out = np.where(self.keys[place] == keys, self.at[place], -1)
+        if len(self.more) and len(odd := np.flatnonzero(self.crowded[place] & (out < 0))):
+            at = np.minimum(np.searchsorted(self.more, keys[odd]), len(self.more) - 1)
+            out[odd] = np.where(self.more[at] == keys[odd], self.more_at[at], -1)
+        return out

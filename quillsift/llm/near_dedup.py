@@ -2,8 +2,8 @@
 
 Two collections A and B of `halves` base keys each (a base key hashes `rows` MinHash values) stand for halves**2 tables:
 table (i, j) is keyed by the pair (A_i, B_j). Two sets of similarity s meet in some table unless no A_i or no B_j agrees,
-so with 2 * halves * rows MinHash values the miss rate is at most 2 * (1 - s**rows)**halves: 6.5e-5 at s = 0.85 with
-the defaults, where as many separate tables would take halves**2 * 2 * rows values.
+so with 2 * halves * rows MinHash values the miss rate is at most 2 * (1 - s**rows)**halves: 5.2e-5 at s = 0.8 with 20
+halves of 4 rows, 6.5e-5 at s = 0.85 with 14, where as many separate tables would take halves**2 * 2 * rows values.
 
 1. A Python pass turns every whole text into its set's size, a 128-bit digest of the set, and its base keys.
 2. Equal digests collapse to one node. Nodes whose A keys or whose B keys nobody shares can meet no one and go.
@@ -23,13 +23,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, mix64, shingle_sets, text_bytes
 
 #: Base keys a collection, and MinHash values a base key.
-HALVES, ROWS = 14, 4
+HALVES, ROWS = 20, 4
 #: Node ids up to this many are broadcast to pick texts; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _A, _B = (mix64(np.arange(at, at + 2 * 64 * 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1) for at in (1, 5000))
@@ -61,11 +61,11 @@ def sketches(docs: DataFrame, words: int, halves: int, rows: int, id_col: str, t
             some = [s for s in sets if len(s)]
             keys = iter(base_keys(some, halves, rows) if some else [])
             every = [next(keys) if len(s) else None for s in sets]
-            return {"doc_id": batch.column("doc_id"), "n_shingles": [len(s) for s in sets], "node": digests(sets), "a": [None if k is None else k[:halves] for k in every], "b": [None if k is None else k[halves:] for k in every]}
+            return {"doc_id": batch.column("doc_id"), "spot": batch.column("spot"), "n_shingles": [len(s) for s in sets], "node": digests(sets), "a": [None if k is None else k[:halves] for k in every], "b": [None if k is None else k[halves:] for k in every]}
 
         return work
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id long, n_shingles long, node binary, a array<long>, b array<long>", make)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("spot")), "doc_id long, spot long, n_shingles long, node binary, a array<long>, b array<long>", make)
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -127,7 +127,7 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, words: int = 5, halves: int = HALVES, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, node (digest of the set; null if empty), component_id, component
+    """One row per row of docs: doc_id, spot (xxhash64 of id and text), n_shingles, node (digest of the set; null if empty), component_id, component
     (digest that stands for the component; null if the set is empty), kept."""
     whole = materialise(sketches(docs, words, halves, rows, id_col, text_col), "sketches")
     nodes = materialise(whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
@@ -166,11 +166,28 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, words: int = 5, halve
     named = materialise(named, "named")
     least = materialise(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "components")
     parts = materialise(named.select("node", "component").join(least, "component").select("node", "component", "component_id"), "members")
-    filled = whole.where("node is not null").select("doc_id", "n_shingles", "node").join(parts, "node").select("doc_id", "n_shingles", "node", "component_id", "component")
-    empty = whole.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
+    filled = whole.where("node is not null").select("doc_id", "spot", "n_shingles", "node").join(parts, "node").select("doc_id", "spot", "n_shingles", "node", "component_id", "component")
+    empty = whole.where("node is null").select("doc_id", "spot", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("component"))
     return filled.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each component (of smallest id), and all rows with empty sets."""
+    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, **how), "found")
+    first = found.where("kept and component is not null").groupBy("component").agg(F.min("spot").alias("_spot")).select("_spot")
+    spots = materialise(first.unionByName(found.where("component is null").select(F.col("spot").alias("_spot"))).distinct(), "spots")
+    few = spots.count() <= BROADCAST_IDS
+    own = docs.withColumn("_spot", F.xxhash64(id_col, text_col))
+    chosen = own.join(F.broadcast(spots) if few else spots, "_spot", "left_semi")
+    twice = materialise(found.where("component is not null").groupBy("spot").agg(F.count("*").alias("c")).where("c > 1").select(F.col("spot").alias("_spot")), "twice")
+    if not twice.isEmpty():  # rows repeated whole: one of them stays
+        few = twice.count() <= BROADCAST_IDS
+        again = F.broadcast(twice) if few else twice
+        repeated = chosen.join(again, "_spot", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("_spot").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+        chosen = chosen.join(again, "_spot", "left_anti").unionByName(repeated)
+    return chosen.select(*docs.columns)
+
+
 def slots(live: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, node, n, label): the tensored table keys made of base keys that hold more than one label."""
     at = live.join(labels, "node")

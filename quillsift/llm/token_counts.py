@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import IntTable, map_batches
 
 #: Pre-tokens that a task remembers before it starts anew, and bytes of new ones that it merges at once.
 CACHE_TOKENS, BATCH_BYTES = 400_000, 2_000_000
@@ -40,9 +40,7 @@ def byte_alphabet() -> list[str]:
 
 
 class RankedPairs:
-    """A byte-level BPE file of the tokenizers library as arrays: the ids of bytes, and a hash table of pairs with ranks."""
-
-    BITS = 19
+    """A byte-level BPE file of the tokenizers library as arrays: the ids of bytes, and a table of pairs in the order of their ranks."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -56,29 +54,12 @@ class RankedPairs:
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
-        # one place a pair; pairs whose place is taken stand in a sorted list
-        place = self._place(keys)
-        self.keys, self.ranks, self.made = np.full(1 << self.BITS, -1, np.int64), np.zeros(1 << self.BITS, np.int64), made
-        first = np.unique(place, return_index=True)[1]
-        self.keys[place[first]], self.ranks[place[first]] = keys[first], first
-        rest = np.setdiff1d(np.arange(len(keys)), first)
-        rest = rest[np.argsort(keys[rest])]
-        self.crowded = np.zeros(1 << self.BITS, bool)
-        self.crowded[place[rest]] = True
-        self.more_keys, self.more_ranks = np.append(keys[rest], _NONE), np.append(rest, 0)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.table, self.made = IntTable(keys), made
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, _NONE if it has none."""
-        keys = left << 32 | right
-        place = self._place(keys)
-        out = np.where(self.keys[place] == keys, self.ranks[place], _NONE)
-        if len(odd := np.flatnonzero(self.crowded[place] & (out == _NONE))):
-            at = np.searchsorted(self.more_keys, keys[odd])
-            out[odd] = np.where(self.more_keys[at] == keys[odd], self.more_ranks[at], _NONE)
-        return out
+        found = self.table.find(left << 32 | right)
+        return np.where(found < 0, _NONE, found)
 
     def counts(self, tokens: list[bytes]) -> np.ndarray:
         """The number of symbols that each byte string ends with."""
