@@ -7,10 +7,11 @@ halves of 4 rows, 6.5e-5 at s = 0.85 with 14, where as many separate tables woul
 
 1. A Python pass turns every whole text into its set's size, a 128-bit digest of the set, and its base keys.
 2. Equal digests collapse to one node. Nodes whose A keys or whose B keys nobody shares can meet no one and go.
-3. Diagonal tables (A_i, B_i) link each node to the smallest node it meets; links are confirmed on full sets and contracted.
-4. All tables are then built from the base keys that still hold nodes of different components. While they hold many
-   open pairs, another round of stars shrinks them; the rest is compared pair by pair within size classes, so no
-   link between nodes that share a table is lost, and pairs already in one component are never emitted.
+3. Diagonal tables (A_i, B_i) link each node to the most central node it meets; links are confirmed on full sets and contracted.
+4. All tables are then built from the base keys that still hold nodes of different components. The nodes they leave open are
+   compared by their rarest shingles, exactly (prefix and position filters): first by stars again, then all pairs of different
+   components that pass the filters. No link between nodes that share a table is lost, and pairs already in one component are
+   never emitted.
 
 Nulls: a null text has an empty set. A null doc_id never becomes a component's smallest id unless it has no other.
 Empty texts: an empty set (n_shingles 0), linked with nothing; its component_id is its own doc_id.
@@ -133,34 +134,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, words: int = 5, halve
     nodes = materialise(whole.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
 
     # base keys that several nodes share
-    keys = nodes.select("node", "n", F.explode(F.concat(F.transform("a", lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"))), F.transform("b", lambda k: F.struct(F.lit(1).alias("side"), k.alias("key"))))).alias("k")).select("node", "n", "k.side", "k.key")
+    keys = base_key_rows(nodes)
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
-    own = keys.join(shared, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.col("key")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("key")))).alias("b"))
+    own = keys.join(shared, "key").groupBy("node").agg(F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("b"))
     live = materialise(own.where("size(a) > 0 and size(b) > 0"), "live")
     labels = live.select("node", F.col("node").alias("label"))
     if not live.isEmpty():
         texts = texts_of(docs, nodes.join(live.select("node"), "node", "left_semi").select("node", "doc_id"), words, id_col, text_col)
 
-        # the diagonal tables: a star to the smallest node of each bucket, one link a node
+        # the diagonal tables: a star to the most central node that a node meets
         diagonal = materialise(nodes.join(live.select("node"), "node", "left_semi").select("node", F.explode(F.zip_with("a", "b", lambda a, b: F.xxhash64(a, b))).alias("key")), "diagonal")
-        hubs = materialise(diagonal.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"), "hubs")
-        stars = diagonal.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("hub")).where("hub < node").select(F.col("node").alias("x"), F.col("hub").alias("y"))
-        labels = contract(labels, materialise(confirmed(stars, texts, percent, words), "links"))
+        labels = contract(labels, materialise(confirmed(stars(diagonal, labels), texts, percent, words), "links"))
 
-        before = None
-        while True:
-            open_slots = slots(live, labels)
-            groups = open_slots.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("node").alias("least"))
-            buckets = materialise(groups.groupBy("key").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "label")).alias("largest"), F.min(F.struct("least", "label")).alias("hub")).where("total * total > squares"), "buckets")
-            pairs = buckets.agg(F.sum((F.col("total") * F.col("total") - F.col("squares")) / 2).alias("p")).first()["p"] or 0
-            if not pairs:
-                break
-            if pairs <= 2 * live.count() or (before is not None and pairs > 0.7 * before):
-                labels = contract(labels, materialise(confirmed(rest(open_slots, buckets, percent), texts, percent, words), "links"))
-                break
-            before = pairs
-            stars = open_slots.join(buckets.select("key", F.col("hub.least").alias("hub"), F.col("hub.label").alias("hub_label")), "key").where("label != hub_label").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("node").alias("x"), F.col("hub").alias("y"))
-            labels = contract(labels, materialise(confirmed(stars, texts, percent, words), "links"))
+        # what meets nodes of other components in any table
+        met = slots(live, labels).join(labels, "node")
+        mixed = materialise(met.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
+        open_nodes = materialise(met.join(mixed, "key", "left_semi").select("node").distinct(), "open")
+        if not open_nodes.isEmpty():
+            rare = prefixes(texts.join(open_nodes, "node", "left_semi"), percent, words)
+            labels = contract(labels, materialise(confirmed(stars(rare.select("node", "key"), labels), texts, percent, words), "links"))
+            labels = contract(labels, materialise(confirmed(rest(rare, labels, percent), texts, percent, words), "links"))
 
     named = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("component"))
     named = materialise(named, "named")
@@ -188,24 +181,69 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return chosen.select(*docs.columns)
 
 
+def base_key_rows(nodes: DataFrame, *more: str) -> DataFrame:
+    side = lambda c, i: F.transform(c, lambda k: F.struct(F.lit(i).alias("side"), k.alias("key")))
+    return nodes.select("node", *more, F.explode(F.concat(side("a", 0), side("b", 1))).alias("k")).select("node", *more, "k.side", "k.key")
+
+
 def slots(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, n, label): the tensored table keys made of base keys that hold more than one label."""
-    at = live.join(labels, "node")
-    keys = at.select("node", "n", "label", F.explode(F.concat(F.transform("a", lambda k: F.struct(F.lit(0).alias("side"), k.alias("key"))), F.transform("b", lambda k: F.struct(F.lit(1).alias("side"), k.alias("key"))))).alias("k")).select("node", "n", "label", "k.side", "k.key")
-    keys = materialise(keys, "keys")
+    """(key, node): the tensored table keys made of base keys that hold more than one label."""
+    keys = materialise(base_key_rows(live.join(labels, "node"), "label"), "keys")
     mixed = materialise(keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
-    own = keys.join(mixed, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"), F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("b"))
-    return materialise(own.where("size(a) > 0 and size(b) > 0").select("node", "n", "label", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("key")), "slots")
-
-
-def rest(open_slots: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different labels and fitting sizes that share a bucket. Members of a bucket's largest label stand on one side
-    only, so a bucket of one large component and a few strays costs strays times members."""
-    step = float(np.log(100 / percent))
-    size_class = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
-    within = open_slots.join(buckets.select("key", F.col("largest.label").alias("most")), "key").withColumn("c", size_class)
-    within = materialise(within, "within")
-    few = within.where("label != most").select(F.col("key"), F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
-    every = within.select("key", "c", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("in_most"))
-    met = few.join(every, ["key", "c"]).where((F.col("lx") != F.col("ly")) & (F.col("in_most") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")))
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    own = keys.join(mixed, "key").groupBy("node").agg(F.collect_list(F.when(F.col("side") == 0, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("side") == 1, F.col("key"))).alias("b"))
+    return materialise(own.where("size(a) > 0 and size(b) > 0").select("node", F.explode(F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.xxhash64(a, b))))).alias("key")), "slots")
+
+
+def stars(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, y), one pair a node at most: to the most central node (by the sizes of its buckets) of another label that is the most
+    central one of a bucket of (node, key)."""
+    sizes = materialise(buckets.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
+    inside = materialise(buckets.join(sizes, "key"), "inside")
+    ranked = inside.groupBy("node").agg(F.sum("c").alias("weight")).join(labels, "node")
+    ranked = materialise(inside.select("node", "key").join(ranked, "node"), "ranked")
+    hubs = materialise(ranked.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "hub"), "hubs")
+    met = ranked.join(hubs, "key").where("label != hub.label")
+    return met.groupBy("node").agg(F.max("hub").alias("hub")).select(F.col("node").alias("x"), F.col("hub.node").alias("y"))
+
+
+def prefixes(texts: DataFrame, percent: int, words: int) -> DataFrame:
+    """(node, n, key, i): the rarest shingles of each of the nodes in texts, rarest first (i from 1), as many as two sets can do
+    without and still be alike, and without those of one node alone. Alike sets share one of them."""
+
+    def make():
+        def work(batch):
+            sets = shingle_sets(*text_bytes(batch.column("text")), words)
+            rows = np.repeat(np.arange(len(sets)), sizes := [len(s) for s in sets])
+            return {"node": batch.column("node").take(pa.array(rows)), "n": np.repeat(sizes, sizes), "key": np.concatenate(sets).view(np.int64)}
+
+        return work
+
+    held = materialise(map_batches(texts.select("node", "text"), "node binary, n long, key long", make), "held")
+    often = materialise(held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    # keys of one node come first in its order: only their number matters
+    known = held.join(often, "key").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("c", "key")))
+    known = materialise(known, "known")
+    shared = materialise(known.groupBy("node").agg(F.count("*").alias("shared")), "shared_by")
+    placed = known.join(shared, "node").withColumn("i", F.col("i") + F.col("n") - F.col("shared"))
+    return materialise(placed.where(F.col("i") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).select("node", "n", "key", "i"), "prefixes")
+
+
+def rest(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different labels that share a rare shingle early enough in both orders, and have fitting sizes.
+
+    Members of a shingle's largest label stand on one side only, so a bucket of one large component and a few strays costs
+    strays times members. If the i-th and j-th shingles are the first in common, at most 1 + min(nx - i, ny - j) are. Sizes fall
+    in fine classes, so a row only goes to classes for which its place is early enough."""
+    t = percent / 100
+    step = float(-np.log(t) / 8) if percent < 100 else 1.0
+    at = rare.join(labels, "node")
+    counts = at.groupBy("key", "label").agg(F.count("*").alias("c"))
+    buckets = materialise(counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("most.label").alias("most")), "rare_buckets")
+    within = materialise(at.join(buckets, "key").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / step).cast("long")), "within")
+    least = lambda a, b: F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)  # noqa: E731  what two sets must share
+    few = within.where("label != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("label").alias("lx"), F.explode(F.sequence(F.col("size_class") - 9, F.col("size_class") + 9)).alias("size_class"))
+    few = few.where(1 + F.col("nx") - F.col("ix") >= least(F.col("nx"), F.floor(F.exp(F.col("size_class") * step))))
+    every = within.select("key", "size_class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("in_most"))
+    fits = (F.col("lx") != F.col("ly")) & (F.col("in_most") | (F.col("x") < F.col("y"))) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    early = 1 + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= least(F.col("nx"), F.col("ny"))
+    return few.join(every, ["key", "size_class"]).where(fits & early).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
