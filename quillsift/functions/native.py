@@ -92,7 +92,7 @@ def without_ansi(text: Column) -> Column:
 
 
 def without_recording_dots(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?m)(?<=^|\n)([{IN_LINE}]*){RECORDING_DOT}+[{IN_LINE}]*", "$1")
+    return F.regexp_replace(text, rf"(?md)^([{IN_LINE}]*){RECORDING_DOT}+[{IN_LINE}]*", "$1")
 
 
 def without_invisible(text: Column) -> Column:

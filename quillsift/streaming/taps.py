@@ -20,8 +20,8 @@ def taps(df: DataFrame, window_ms: int | Column = DEFAULT_WINDOW_MS, key: str =
     """df with gap_ms and kind: first, double or miss. One shuffle by key serves all windows but the run's own."""
     w = F.lit(window_ms) if isinstance(window_ms, int) else window_ms
     by = Window.partitionBy(key).orderBy(*order)
-    ms = F.unix_micros(F.col(order[0]).cast("timestamp")) / 1000
-    out = df.withColumn("gap_ms", ms - F.lag(ms).over(by))
+    us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    out = df.withColumn("gap_ms", (us - F.lag(us).over(by)) / 1000)
     out = out.withColumn("_run", F.sum((F.col("gap_ms").isNull() | (F.col("gap_ms") > w)).cast("int")).over(by))
     out = out.withColumn("_pos", F.row_number().over(Window.partitionBy(key, "_run").orderBy(*order)))
     out = out.withColumn("_before", F.lag("_pos").over(by))
