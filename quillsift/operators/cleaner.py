@@ -78,6 +78,13 @@ def clean_text(text: str, config: Config | None = None, names: list[str] | None
     return run_stages(text, stages_of(config, names), ctx), ctx
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many parts as there are cores, if it has fewer: few large files would leave most of them idle. Larger inputs have
+    more parts than cores, and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def clean(df: DataFrame, text_col: str = "text", config: Config | None = None, names: list[str] | None = None, out_col: str = "cleaned", ctx_col: str = "ctx") -> DataFrame:
     """df with the cleaned text and the context of each row; null stays null."""
     config = config or Config()
@@ -104,6 +111,6 @@ def clean(df: DataFrame, text_col: str = "text", config: Config | None = None, n
                     fired.append([{"stage": s, "description": d, "chars_changed": c} for s, d, c in ctx.rules_fired])
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + 2)), *(pa.array(c, arrow.field(n + 2 + i).type) for i, c in enumerate((texts, types, fired)))], schema=arrow)
 
-    done = flagged.mapInArrow(run, schema)
+    done = spread(flagged).mapInArrow(run, schema)
     ctx = F.struct(F.col("_type").alias("content_type"), F.col("_fired").alias("rules_fired"), F.lit(config.profile).cast("string").alias("profile"), F.octet_length(text).cast("bigint").alias("input_size_bytes"), F.coalesce("_secret", F.lit(False)).alias("skipped_sensitive"), F.coalesce("_big", F.lit(False)).alias("skipped_oversize"))
     return done.select(*df.columns, F.coalesce("_out", text).alias(out_col), F.when(text.isNotNull(), ctx).cast(CONTEXT_DDL).alias(ctx_col))

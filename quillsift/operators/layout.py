@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_right
 from typing import NamedTuple
 
-from ..functions.chars import RECORDING_DOT, SHELL_WORDS, WHITE, is_fence, trim, words_of
+from ..functions.chars import RECORDING_DOT, SHELL_WORDS, WHITE, WORD, is_fence, trim, words_of
 from .base import SHELL, Context
 
 _ANY_WHITE = f"[{WHITE}]"
 _LIST = re.compile(rf"- |\* |[•◦▪]{_ANY_WHITE}|\d+[.)\]] ")
+_LIST_STARTS = frozenset("-*•◦▪") | {chr(c) for c in range(sys.maxunicode) if chr(c).isdecimal()}
 _BULLET = re.compile(rf"([•◦▪]){_ANY_WHITE}+")
 _SPACES = re.compile(" {3,}")
 #: Leading blanks beyond this are padding, and begin a paragraph.
@@ -26,7 +28,7 @@ class Line(NamedTuple):
 
 
 def is_list_item(line: str) -> bool:
-    return _LIST.match(line) is not None
+    return line[:1] in _LIST_STARTS and _LIST.match(line) is not None
 
 
 def is_shell_command(line: str) -> bool:
@@ -34,9 +36,10 @@ def is_shell_command(line: str) -> bool:
     own = trim(line)
     if len(own.encode()) > 2 and own[0] == own[-1] == "`":
         own = own[1:-1]
-    words = words_of(own)
-    if not words:
+    first = WORD.match(own, len(own) - len(own.lstrip(WHITE)))
+    if first is None or not (first[0] in SHELL_WORDS or first[0].startswith("./")):
         return False
+    words = words_of(own)
     command = (words[1] if len(words) > 1 else "") if words[0] == "sudo" else words[0]
     if command.startswith("./"):
         return True

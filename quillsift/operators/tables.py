@@ -13,6 +13,7 @@ from ..functions.chars import BARS, BOX, WHITE, lines_of, trim
 TABLE_DDL = "struct<detected:boolean,format:string,confidence:float,rows:array<array<string>>,warnings:array<string>>"
 #: Bytes by which the bars of a column may stand apart in lines that count as aligned.
 DRIFT = 6
+_BAR = re.compile(f"[{BARS}]")
 
 
 @dataclass
@@ -48,13 +49,15 @@ def _usual(sizes: list[int]) -> tuple[int, int]:
 
 
 def bars_in(line: str) -> list[int]:
-    return [i for i, c in enumerate(line) if c in BARS]
+    return [m.start() for m in _BAR.finditer(line)] if "|" in line or "│" in line else []
 
 
 def is_rule(line: str) -> bool:
     """A line of borders only."""
     own = trim(line)
-    return bool(own) and not any(c.isalnum() for c in own) and (any(c in BOX for c in own) or all(c in "+-| " for c in own))
+    if not own or any(c.isalnum() for c in own):
+        return False
+    return any(c in BOX for c in own) or all(c in "+-| " for c in own)
 
 
 def cells_between_bars(line: str) -> list[str]:
@@ -64,6 +67,8 @@ def cells_between_bars(line: str) -> list[str]:
 
 def split_delimited(line: str, delimiter: str) -> list[str]:
     """Fields of a line; quotes may open anywhere, a doubled quote inside them is one."""
+    if '"' not in line:
+        return line.split(delimiter)
     fields, quoted, i = [""], False, 0
     while i < len(line):
         c = line[i]
@@ -213,7 +218,8 @@ def extract_table(text: str) -> Table:
     own = trim(text)
     if not own:
         return Table()
-    found = [t for parse in (terminal_box, flattened_box, aligned_pipes, markdown_table, delimited) if (t := parse(own))]
+    barred = (terminal_box, flattened_box, aligned_pipes, markdown_table) if "|" in own or "│" in own else ()
+    found = [t for parse in (*barred, delimited) if (t := parse(own))]
     return max(reversed(found), key=lambda t: (np.float32(t.confidence), len(t.rows) * len(t.rows[0])), default=Table())
 
 
