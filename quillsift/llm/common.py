@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that one step inside a Python worker handles at once; bounds a worker's memory beside one Arrow batch.
-SLICE_ROWS = 256
+SLICE_ROWS, BATCH_ROWS = 256, 1024
 #: The word pattern of every operator here, `[^\x20\x09-\x0D]+`, as a byte table of its separators.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,6 +47,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     """df.mapInArrow over slices of at most `rows` rows. make() runs once a task and returns the function of a slice, which
     returns columns by name."""
     out = pa_schema(df.sparkSession, schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -58,6 +59,12 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most in this session: texts are long, and idle workers keep what they once needed."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

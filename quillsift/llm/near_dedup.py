@@ -66,7 +66,7 @@ def sketches(docs: DataFrame, words: int, halves: int, rows: int, id_col: str, t
 
         return work
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("spot")), "doc_id long, spot long, n_shingles long, node binary, a array<long>, b array<long>", make)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("spot")), "doc_id long, spot long, n_shingles long, node binary, a array<long>, b array<long>", make, rows=64)
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -82,7 +82,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_co
 
         return work
 
-    read = map_batches(chosen, "node binary, text string", make)
+    read = map_batches(chosen, "node binary, text string", make, rows=64)
     wanted = read.join(F.broadcast(nodes.select("node")) if few else nodes.select("node"), "node", "left_semi")
     return materialise(wanted.groupBy("node").agg(F.max("text").alias("text")), "texts")
 
@@ -104,7 +104,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
 
         return work
 
-    return map_batches(both, "x binary, y binary", make, rows=128)
+    return map_batches(both, "x binary, y binary", make, rows=64)
 
 
 def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def prefixes(texts: DataFrame, percent: int, words: int) -> DataFrame:
 
         return work
 
-    held = materialise(map_batches(texts.select("node", "text"), "node binary, n long, key long", make), "held")
+    held = materialise(map_batches(texts.select("node", "text"), "node binary, n long, key long", make, rows=64), "held")
     often = materialise(held.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
     # keys of one node come first in its order: only their number matters
     known = held.join(often, "key").withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy("c", "key")))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pa_schema
+from .common import pa_schema, small_batches
 
 ROW_LEN, PACK_TOKENS = 2048, 1 << 21
 SCHEMA = "pack string, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, piece_nos array<int>"
@@ -111,6 +111,7 @@ def byte_bpe_encoder(path: str, pattern: str) -> Callable[[], Callable[[list[str
 
 def pack(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], list[list[int]]]], *, row_len: int = ROW_LEN, pad: int = 0, dtype: str = "<u2", pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packed rows (SCHEMA). cu_seqlens starts with 0 and ends with n_tokens; position_resets are its starts of segments."""
+    small_batches(docs.sparkSession)
     out, most = pa_schema(docs.sparkSession, SCHEMA), np.iinfo(dtype).max
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import IntTable, mix64, pa_schema
 
 SPACE = "▁"
-SLICE_CHARS = 300_000
-#: Rows (places of distinct chunks) that a task remembers: 16 arcs of 16 bytes each.
-HELD_ROWS = 300_000
+SLICE_CHARS = 150_000
+#: Rows (places of distinct chunks) that a task remembers: 16 arcs of 8 bytes each.
+HELD_ROWS = 400_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -np.inf
 
@@ -70,13 +70,15 @@ class Lattice:
         self.log = theta * -np.log(rank * np.sum(1 / rank))
         self.log_byte = theta * -np.log((len(usable) + 2.0) * np.sum(1 / rank))
         self.most = max(len(pieces[i]) for i in usable)
-        keys = []
-        for i in usable:
-            h = np.uint64(0)
+        # hashes of all beginnings of pieces: which piece one is, -1 if it only begins longer ones
+        known: dict[int, int] = {}
+        for at, i in enumerate(usable):
+            h = np.zeros(1, np.uint64)
             for c in pieces[i]:
-                h = self._step(np.array([h]), np.array([ord(c)], np.uint64))[0]
-            keys.append(h)
-        self.table = IntTable(np.array(keys, np.uint64).view(np.int64))
+                h = self._step(h, np.array([ord(c)], np.uint64))
+                known.setdefault(int(h[0]), -1)
+            known[int(h[0])] = at
+        self.table, self.begins = IntTable(np.array(list(known), np.uint64).view(np.int64)), np.array(list(known.values()), np.int64)
         self.seen: dict[int, int] = {}
         self.used, self.held = 0, None
 
@@ -91,70 +93,63 @@ class Lattice:
             self.held = None
         if self.held is None:
             rows = max(HELD_ROWS, int(sizes.sum()))
-            self.held = (np.empty((self.most, rows), np.int32), *(np.empty((self.most, rows), np.float32) for _ in range(3)))
+            self.held = (np.empty((rows, self.most), np.int32), np.empty((rows, self.most), np.float32))
         at = np.array([self.seen.get(x, -1) for x in names], np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
             new = new[np.argsort(-sizes[new], kind="stable")]
             own = sizes[new]
             first = np.cumsum(own) - own
-            src = np.repeat(starts[new] - first, own) + np.arange(own.sum())
             to = self.used + int(own.sum())
-            for store, got in zip(self.held, self._arcs(src, own, first, cp), strict=True):
-                store[:, self.used : to] = got
+            for store, got in zip(self.held, self._arcs(starts[new], own, first, cp), strict=True):
+                store[self.used : to] = got
             at[new] = self.used + first
             self.used = to
             self.seen.update(zip((names[i] for i in new.tolist()), at[new].tolist(), strict=True))
         return at
 
-    def _arcs(self, src: np.ndarray, sizes: np.ndarray, at: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of chunks in order of falling size, one after the other; src: for each row its place in cp. By arc length and row:
-        piece, cumulated probability, log-probability, and the mass of the other arcs."""
-        m, rows = self.most, len(src)
-        weight, piece = np.full((m, rows + m), _NEVER), np.full((m, rows), -1, np.int32)
-        left = np.repeat(at + sizes, sizes) - np.arange(rows)
+    def _arcs(self, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of chunks in order of falling size: piece and probability by row (place, chunk after chunk) and arc length.
+
+        Inside, rows stand by their distance t from the chunk's end, so that a step of the sums from the right is a slice."""
+        m, rows, longest = self.most, int(sizes.sum()), int(sizes[0])
+        count = np.searchsorted(-sizes, -np.arange(1, longest + 1), side="right")
+        off = np.concatenate([[0], np.cumsum(count)])
+        left = np.repeat(np.arange(1, longest + 1), count)
+        src = (starts + sizes)[np.arange(rows) - np.repeat(off[:-1], count)] - left
+        weight, piece = np.full((m, rows), _NEVER), np.full((m, rows), -1, np.int32)
         live, h = np.arange(rows), np.zeros(rows, np.uint64)
         for step in range(m):
             h = self._step(h, cp[src[live] + step])
             found = self.table.find(h.view(np.int64))
-            hit = found >= 0
+            which = np.where(found >= 0, self.begins[found], -1)
+            hit = which >= 0
             r = live[hit]
-            weight[step, r], piece[step, r] = self.log[found[hit]], self.ids[found[hit]]
+            weight[step, r], piece[step, r] = self.log[which[hit]], self.ids[which[hit]]
             if step == 0:
                 odd = live[~hit]
                 width = 1 + (cp[src[odd]] > 0x7F) + (cp[src[odd]] > 0x7FF) + (cp[src[odd]] > 0xFFFF).astype(np.int64)
                 weight[0, odd], piece[0, odd] = self.log_byte * width, -2
-            on = left[live] > step + 1
+            on = (found >= 0) & (left[live] > step + 1)
             live, h = live[on], h[on]
             if not len(live):
                 break
-        m = step + 1 if not len(live) else m
-        while m > 1 and not (piece[m - 1] >= 0).any():  # no arcs that long here
-            m -= 1
-        # sums from the right: at step t the place t before the end of each chunk that long; a chunk's end counts 0
-        beta, prob = np.zeros(rows), np.zeros((m, rows))
-        ends = at + sizes
-        for t in range(1, int(sizes[0]) + 1):
-            r = ends[: np.searchsorted(-sizes, -t, side="right")] - t
-            reach = min(t, m)
-            w = weight[:reach, r]
-            if t > 1:
-                w[: min(t - 1, m)] += beta[r + np.arange(1, min(t - 1, m) + 1)[:, None]]
+        m = step + 1
+        beta, prob = np.zeros(rows), np.zeros((self.most, rows), np.float32)
+        for t in range(1, longest + 1):
+            n, at = count[t - 1], off[t - 1]
+            w = weight[: min(t, m), at : at + n]
+            for reach in range(1, min(t - 1, m) + 1):
+                w[reach - 1] += beta[off[t - 1 - reach] : off[t - 1 - reach] + n]
             top = w.max(0)
-            e = np.exp(w - top)
-            total = e.sum(0)
-            e /= total
-            beta[r] = top + np.log(total)
-            weight[:reach, r], prob[:reach, r] = w - beta[r], e
-        cum, others, after = np.empty((self.most, rows), np.float32), np.zeros((self.most, rows), np.float32), np.zeros(rows)
-        total = np.zeros((m + 1, rows))
-        for i in range(m):
-            np.add(total[i], prob[i], out=total[i + 1])
-        cum[:m], cum[m:] = total[1:], total[m]
-        for i in range(m - 1, -1, -1):
-            others[i] = total[i] + after  # the mass of all arcs but i, without cancellation
-            after += prob[i]
-        return piece, cum, weight[:, :rows], others
+            w -= top
+            np.exp(w, out=w)
+            total = w.sum(0)
+            prob[: min(t, m), at : at + n] = w / total
+            beta[at : at + n] = top + np.log(total)
+        place = np.arange(rows) - np.repeat(first, sizes)
+        order = off[np.repeat(sizes, sizes) - place - 1] + np.repeat(np.arange(len(sizes)), sizes)
+        return np.take(np.ascontiguousarray(piece.T), order, axis=0), np.take(np.ascontiguousarray(prob.T), order, axis=0)
 
     def decode(self, ids) -> str:
         out = bytearray()
@@ -195,7 +190,7 @@ class _Slice:
         h = np.add.reduceat(mix64(cp + np.uint64(7)) * power[np.arange(n) - np.repeat(s, size)], s) + mix64(size.astype(np.uint64))
         names, first, which = np.unique(h, return_index=True, return_inverse=True)
         at = lattice.rows_of(names.tolist(), size[first], s[first], cp)
-        self.piece, self.cum, self.logp, self.others = lattice.held
+        self.piece, self.prob = lattice.held
         self.row = np.repeat(at[which], size) + np.arange(n) - np.repeat(s, size)
 
     def _unit(self, places: np.ndarray, docs: np.ndarray, pop: int, kind: int) -> np.ndarray:
@@ -207,11 +202,13 @@ class _Slice:
         """Draws arcs from each place to its chunk's end."""
         while len(places):
             row = self.row[places]
-            u = self._unit(places, self.doc_of[places], pop, 0).astype(np.float32) * np.float32(1 - 1e-6) * self.cum[-1][row]
+            u = self._unit(places, self.doc_of[places], pop, 0) * (1 - 1e-6)
             arc = np.zeros(len(places), np.int64)
-            more = np.arange(len(places))
-            for c in self.cum:
-                more = more[c[row[more]] <= u[more]]
+            more, sums = np.arange(len(places)), np.zeros(len(places))
+            for i in range(self.prob.shape[1] - 1):
+                sums += self.prob[row, i]
+                on = sums <= u[more]
+                more, row, sums = more[on], row[on], sums[on]
                 if not len(more):
                     break
                 arc[more] += 1
@@ -229,41 +226,48 @@ class _Slice:
         n = len(self.cp)
         lengths, nodes, spent = [], [], [dict() for _ in range(docs)]  # spent: arcs already taken at (path, place)
         found: list[list] = [[] for _ in range(docs)]
-        prefix_at = []
+        logps = []
         # the first path: the root's priority is a Gumbel of mass 1
         value = -np.log(-np.log(self._unit(self.doc[:-1], np.arange(docs), 0, 1)))
         length = np.zeros(n, np.uint8)
         self._follow(length, self.starts, 0)
-        branch = self.doc[:-1] - 1  # places after it are new
+        branch = self.doc[:-1].copy()  # places from it on are new
+        logp = np.zeros(n)
         alive = np.ones(docs, bool)
         for pop in range(k):
             steps = np.flatnonzero(length)
             of = self.doc_of[steps]
-            r, arc = self.row[steps], length[steps].astype(np.int64) - 1
-            lp = self.logp[arc, r].astype(np.float64)
+            at_or_after = steps >= branch[of]
+            fresh = steps[at_or_after]
+            r, arc = self.row[fresh], length[fresh].astype(np.int64) - 1
+            others = self.prob[r]
+            picked = (np.arange(len(r)), arc)
+            logp[fresh] = np.log(others[picked].astype(np.float64))
+            others[picked] = 0
+            lp = logp[steps]
             total = np.cumsum(lp)
             bound = np.searchsorted(steps, self.doc)
             base = np.where(bound[:-1] > 0, total[np.maximum(bound[:-1] - 1, 0)], 0.0)
             before = total - lp - base[of]
             node = np.full(n, _NEVER)
-            new = steps > branch[of]
             with np.errstate(divide="ignore", invalid="ignore"):
-                node[steps[new]] = self._truncated(before[new] + np.log(self.others[arc[new], r[new]].astype(np.float64)), value[of[new]], self._unit(steps[new], of[new], pop, 2))
+                node[fresh] = self._truncated(before[at_or_after] + np.log(others.sum(1, dtype=np.float64)), value[of[at_or_after]], self._unit(fresh, of[at_or_after], pop, 2))
             prefix = np.zeros(n)
             prefix[steps] = before
-            pieces = self.piece[arc, r]
+            pieces = self.piece[self.row[steps], length[steps].astype(np.int64) - 1]
             for d in np.flatnonzero(alive).tolist():
                 lo, hi = bound[d], bound[d + 1]
                 found[d].append([self._ids(steps[lo:hi], pieces[lo:hi]), float(total[hi - 1] - base[d]), float(value[d])])
                 if pop:  # what is left at the branching place
                     j, taken = int(branch[d]), spent[d][pop]
-                    p = np.exp(self.logp[:, self.row[j]].astype(np.float64))
+                    p = self.prob[self.row[j]].astype(np.float64)
                     p[taken] = 0
+                    node[j] = _NEVER
                     if (mass := p.sum()) > 0:
                         node[j] = self._truncated(prefix[j] + np.log(mass), value[d], self._unit(np.array([j]), np.array([d]), pop, 2)[0])
             lengths.append(length)
             nodes.append(node)
-            prefix_at.append(prefix)
+            logps.append(logp)
             # the next pop of each text
             best = np.stack([np.maximum.reduceat(x, self.doc[:-1]) for x in nodes])
             on = np.argmax(best, 0)
@@ -271,7 +275,7 @@ class _Slice:
             alive &= value > _NEVER
             if pop == k - 1 or not alive.any():
                 break
-            length = np.zeros(n, np.uint8)
+            length, logp = np.zeros(n, np.uint8), np.zeros(n)
             branch = np.full(docs, n)
             open_places = []
             for d in np.flatnonzero(alive).tolist():
@@ -279,12 +283,12 @@ class _Slice:
                 j = lo + int(np.argmax(nodes[a][lo:hi]))
                 nodes[a][j] = _NEVER
                 taken = spent[d].get(a, []) if a and self._branched(spent[d], a, j) else [int(lengths[a][j]) - 1]
-                p = np.exp(self.logp[:, self.row[j]].astype(np.float64))
+                p = self.prob[self.row[j]].astype(np.float64)
                 p[taken] = 0
                 c = np.cumsum(p)
                 arc = int(np.searchsorted(c, c[-1] * self._unit(np.array([j]), np.array([d]), pop + 1, 3)[0] * (1 - 1e-9), side="right"))
                 spent[d][pop + 1], spent[d][-pop - 1] = [*taken, arc], j
-                length[lo:j] = lengths[a][lo:j]
+                length[lo:j], logp[lo:j] = lengths[a][lo:j], logps[a][lo:j]
                 length[j] = arc + 1
                 branch[d] = j
                 if j + arc + 1 < self.end[j]:
@@ -328,6 +332,7 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
     own = "ids:array<int>" if emit == "ids" else "n_pieces:int,ids_digest:string"
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"samples array<struct<{own},logp:double,perturbed:double,log_inclusion:double>>"])
     out = pa_schema(docs.sparkSession, schema)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         lat = lattice_of(path, theta)
