@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, mix64, pa_schema
+from .common import IntTable, mix64, pa_schema, small_batches
 
 SPACE = "▁"
 SLICE_CHARS = 150_000
