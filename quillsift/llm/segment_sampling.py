@@ -36,7 +36,7 @@ from .common import IntTable, mix64, pa_schema, small_batches
 SPACE = "▁"
 SLICE_CHARS = 150_000
 #: Rows (places of distinct chunks) that a task remembers: 16 arcs of 8 bytes each.
-HELD_ROWS = 400_000
+HELD_ROWS, SLOT_BITS = 400_000, 17
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -np.inf
 
@@ -79,33 +79,43 @@ class Lattice:
                 known.setdefault(int(h[0]), -1)
             known[int(h[0])] = at
         self.table, self.begins = IntTable(np.array(list(known), np.uint64).view(np.int64)), np.array(list(known.values()), np.int64)
-        self.seen: dict[int, int] = {}
         self.used, self.held = 0, None
 
     @staticmethod
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(31))) * _M + c + np.uint64(1)
 
-    def rows_of(self, names: list[int], sizes: np.ndarray, starts: np.ndarray, cp: np.ndarray) -> np.ndarray:
-        """The first row of each chunk in self.held; chunks not seen before are computed. A full store starts anew."""
-        if self.used + int(sizes.sum()) > HELD_ROWS:
-            self.seen, self.used = {}, 0
-            self.held = None
-        if self.held is None:
-            rows = max(HELD_ROWS, int(sizes.sum()))
-            self.held = (np.empty((rows, self.most), np.int32), np.empty((rows, self.most), np.float32))
-        at = np.array([self.seen.get(x, -1) for x in names], np.int64)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            new = new[np.argsort(-sizes[new], kind="stable")]
-            own = sizes[new]
-            first = np.cumsum(own) - own
-            to = self.used + int(own.sum())
-            for store, got in zip(self.held, self._arcs(starts[new], own, first, cp), strict=True):
-                store[self.used : to] = got
-            at[new] = self.used + first
-            self.used = to
-            self.seen.update(zip((names[i] for i in new.tolist()), at[new].tolist(), strict=True))
+    def rows_of(self, names: np.ndarray, sizes: np.ndarray, starts: np.ndarray, cp: np.ndarray) -> np.ndarray:
+        """The first row of each chunk in self.held. Chunks that aren't remembered (one name a slot) are computed; a full store starts
+        anew."""
+        slot = (names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        for _ in range(2):
+            if self.held is None:
+                self.held = (np.empty((HELD_ROWS, self.most), np.int32), np.empty((HELD_ROWS, self.most), np.float32))
+            if self.used == 0:
+                self.names, self.rows = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
+            at = np.where(self.names[slot] == names, self.rows[slot], -1)
+            miss = np.flatnonzero(at < 0)
+            if not len(miss):
+                return at
+            _, first, which = np.unique(names[miss], return_index=True, return_inverse=True)
+            own = sizes[miss[first]]
+            if self.used + int(own.sum()) <= len(self.held[0]):
+                break
+            self.used = 0
+            if int(own.sum()) > len(self.held[0]):  # a chunk or slice larger than the store
+                self.held = tuple(np.empty((2 * int(own.sum()), self.most), x.dtype) for x in self.held)
+        order = np.argsort(-own, kind="stable")
+        new, own = miss[first[order]], own[order]
+        start = np.cumsum(own) - own
+        to = self.used + int(own.sum())
+        for store, got in zip(self.held, self._arcs(starts[new], own, start, cp), strict=True):
+            store[self.used : to] = got
+        rows = np.empty(len(order), np.int64)
+        rows[order] = self.used + start
+        at[miss] = rows[which]
+        self.names[slot[miss]], self.rows[slot[miss]] = names[miss], at[miss]
+        self.used = to
         return at
 
     def _arcs(self, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,10 +198,9 @@ class _Slice:
         # equal chunks share their lattice
         power = np.cumprod(np.full(int(size.max()), _M | np.uint64(1)))
         h = np.add.reduceat(mix64(cp + np.uint64(7)) * power[np.arange(n) - np.repeat(s, size)], s) + mix64(size.astype(np.uint64))
-        names, first, which = np.unique(h, return_index=True, return_inverse=True)
-        at = lattice.rows_of(names.tolist(), size[first], s[first], cp)
+        at = lattice.rows_of(mix64(h), size, s, cp)
         self.piece, self.prob = lattice.held
-        self.row = np.repeat(at[which], size) + np.arange(n) - np.repeat(s, size)
+        self.row = np.repeat(at, size) + np.arange(n) - np.repeat(s, size)
 
     def _unit(self, places: np.ndarray, docs: np.ndarray, pop: int, kind: int) -> np.ndarray:
         """Uniform numbers in (0, 1) for (row key, place in the text, pop, kind)."""
