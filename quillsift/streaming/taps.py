@@ -76,7 +76,7 @@ def stream_taps(events: DataFrame, window_ms: int = DEFAULT_WINDOW_MS, ttl_ms: i
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         last, streak = state.get if state.exists else (float("-inf"), 0)
         kinds = []
-        for ms in rows["ts"].astype("int64") / (1e3 if rows["ts"].dtype == "datetime64[us]" else 1e6):
+        for ms in rows["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e3:
             gap = ms - last
             if gap <= window_ms:
                 streak += 1
