@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import IntTable, mix64, pa_schema, small_batches
 
 SPACE = "▁"
-SLICE_CHARS = 150_000
+SLICE_CHARS = 60_000
 #: Rows (places of distinct chunks) that a task remembers: 16 arcs of 8 bytes each.
 HELD_ROWS, SLOT_BITS = 400_000, 17
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -197,7 +197,7 @@ class _Slice:
         self.end = np.repeat(s + size, size)  # of each place's chunk
         # equal chunks share their lattice
         power = np.cumprod(np.full(int(size.max()), _M | np.uint64(1)))
-        h = np.add.reduceat(mix64(cp + np.uint64(7)) * power[np.arange(n) - np.repeat(s, size)], s) + mix64(size.astype(np.uint64))
+        h = np.add.reduceat((cp + np.uint64(7)) * power[np.arange(n) - np.repeat(s, size)], s) ^ mix64(size.astype(np.uint64))
         at = lattice.rows_of(mix64(h), size, s, cp)
         self.piece, self.prob = lattice.held
         self.row = np.repeat(at, size) + np.arange(n) - np.repeat(s, size)
@@ -207,11 +207,16 @@ class _Slice:
         x = mix64(self.key[docs] + mix64((places - self.doc[docs]).astype(np.uint64) * np.uint64(4096) + np.uint64(pop * 4 + kind + 1)))
         return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
-    def _follow(self, length: np.ndarray, places: np.ndarray, pop: int) -> None:
-        """Draws arcs from each place to its chunk's end."""
+    def _halves(self, places: np.ndarray, docs: np.ndarray, pop: int) -> np.ndarray:
+        """64 bits for (row key, place, pop): the upper half draws the arc at the place, the lower one the node beside it."""
+        return mix64(self.key[docs] + (places - self.doc[docs]).astype(np.uint64) * _M + np.uint64(pop) * np.uint64(0xD6E8FEB86659FD93))
+
+    def _follow(self, length: np.ndarray, bits: np.ndarray, places: np.ndarray, pop: int) -> None:
+        """Draws arcs from each place to its chunk's end; keeps the bits of the places it comes by."""
         while len(places):
             row = self.row[places]
-            u = self._unit(places, self.doc_of[places], pop, 0) * (1 - 1e-6)
+            bits[places] = half = self._halves(places, self.doc_of[places], pop)
+            u = ((half >> np.uint64(32)).astype(np.float64) + 0.5) * ((1 - 1e-6) / 2.0**32)
             arc = np.zeros(len(places), np.int64)
             more, sums = np.arange(len(places)), np.zeros(len(places))
             for i in range(self.prob.shape[1] - 1):
@@ -239,7 +244,8 @@ class _Slice:
         # the first path: the root's priority is a Gumbel of mass 1
         value = -np.log(-np.log(self._unit(self.doc[:-1], np.arange(docs), 0, 1)))
         length = np.zeros(n, np.uint8)
-        self._follow(length, self.starts, 0)
+        bits = np.zeros(n, np.uint64)
+        self._follow(length, bits, self.starts, 0)
         branch = self.doc[:-1].copy()  # places from it on are new
         logp = np.zeros(n)
         alive = np.ones(docs, bool)
@@ -249,10 +255,13 @@ class _Slice:
             at_or_after = steps >= branch[of]
             fresh = steps[at_or_after]
             r, arc = self.row[fresh], length[fresh].astype(np.int64) - 1
-            others = self.prob[r]
-            picked = (np.arange(len(r)), arc)
-            logp[fresh] = np.log(others[picked].astype(np.float64))
-            others[picked] = 0
+            p = self.prob[r, arc].astype(np.float64)
+            logp[fresh] = np.log(p)
+            others = 1 - p  # the mass of the other arcs; where it would cancel, summed
+            if len(sharp := np.flatnonzero(p > 0.99)):
+                beside = self.prob[r[sharp]]
+                beside[np.arange(len(sharp)), arc[sharp]] = 0
+                others[sharp] = beside.sum(1)
             lp = logp[steps]
             total = np.cumsum(lp)
             bound = np.searchsorted(steps, self.doc)
@@ -260,7 +269,7 @@ class _Slice:
             before = total - lp - base[of]
             node = np.full(n, _NEVER)
             with np.errstate(divide="ignore", invalid="ignore"):
-                node[fresh] = self._truncated(before[at_or_after] + np.log(others.sum(1, dtype=np.float64)), value[of[at_or_after]], self._unit(fresh, of[at_or_after], pop, 2))
+                node[fresh] = self._truncated(before[at_or_after] + np.log(others), value[of[at_or_after]], ((bits[fresh] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32)
             prefix = np.zeros(n)
             prefix[steps] = before
             pieces = self.piece[self.row[steps], length[steps].astype(np.int64) - 1]
@@ -303,7 +312,7 @@ class _Slice:
                 if j + arc + 1 < self.end[j]:
                     open_places.append(np.array([j + arc + 1]))
                 open_places.append(self.starts[np.searchsorted(self.starts, j + 1) : np.searchsorted(self.starts, hi)])
-            self._follow(length, np.concatenate(open_places), pop + 1)
+            self._follow(length, bits, np.concatenate(open_places), pop + 1)
         kappa = np.max([np.maximum.reduceat(x, self.doc[:-1]) for x in nodes], 0)
         return [[(ids, lp, g, self._inclusion(lp, kappa[d])) for ids, lp, g in found[d]] for d in range(docs)]
 
