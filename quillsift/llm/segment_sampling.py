@@ -36,7 +36,7 @@ from .common import IntTable, mix64, pa_schema, small_batches
 SPACE = "▁"
 SLICE_CHARS = 60_000
 #: Rows (places of distinct chunks) that a task remembers: 16 arcs of 8 bytes each.
-HELD_ROWS, SLOT_BITS = 400_000, 17
+HELD_ROWS, SLOT_BITS = 1_200_000, 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -np.inf
 
@@ -85,13 +85,18 @@ class Lattice:
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(31))) * _M + c + np.uint64(1)
 
+    def forget(self) -> None:
+        """Gives back the store: the worker may serve other stages next."""
+        self.used, self.held, self.names, self.rows = 0, None, None, None
+
     def rows_of(self, names: np.ndarray, sizes: np.ndarray, starts: np.ndarray, cp: np.ndarray) -> np.ndarray:
         """The first row of each chunk in self.held. Chunks that aren't remembered (one name a slot) are computed; a full store starts
         anew."""
         slot = (names >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         for _ in range(2):
             if self.held is None:
-                self.held = (np.empty((HELD_ROWS, self.most), np.int32), np.empty((HELD_ROWS, self.most), np.float32))
+                rows = min(HELD_ROWS, max(4096, 64 * int(sizes.sum())))  # small inputs need a small one
+                self.held = (np.empty((rows, self.most), np.int32), np.empty((rows, self.most), np.float32))
             if self.used == 0:
                 self.names, self.rows = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
             at = np.where(self.names[slot] == names, self.rows[slot], -1)
@@ -367,6 +372,7 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
                 part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(shown, out.field("samples").type)], schema=out)
                 at = to
+        lat.forget()
 
     return docs.select(*keep, F.col(text_col).alias("_sampled"), F.col(key_col).cast("long").alias("_key")).mapInArrow(run, schema)
 
