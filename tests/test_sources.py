@@ -68,13 +68,14 @@ def test_taps(spark, tmp_path):
 
 
 def test_texts(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("é\nb")
-    assert T.read_texts(spark, str(tmp_path / "a.txt")).first()["text"] == "é\nb"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("é\nb")
+    assert T.read_texts(spark, str(tmp_path / "in")).first()["text"] == "é\nb"
     (tmp_path / "b.txt").write_bytes(b"\xff")
     with pytest.raises(Exception, match="UTF"):
         T.read_texts(spark, str(tmp_path / "b.txt")).collect()
     got = []
-    T.sink(T.stream_texts(spark, str(tmp_path / "a.txt")), lambda df, i: got.append(df.count()), str(tmp_path / "cp")).awaitTermination()
+    T.sink(T.stream_texts(spark, str(tmp_path / "in")), lambda df, i: got.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert got == [2]
     t = spark.createDataFrame([("| a | b |\n|---|---|\n| 1 | 2 |",), (None,)], "t string").select(T.table_column(F.col("t")).alias("t")).select("t.detected", T.table_json(F.col("t")).alias("j")).collect()
     assert [r.detected for r in t] == [True, False] and json.loads(t[0].j)["rows"] == [["a", "b"], ["1", "2"]]
