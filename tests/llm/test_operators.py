@@ -92,6 +92,45 @@ def test_chroma(spark):
     assert chroma.align(chroma.fingerprints(spark.createDataFrame([], "media_id long, pcm binary"))).count() == 0
 
 
+def alike(rows, max_ber=0.15):
+    """Links of all pairs at all offsets with an equal run of LANDMARK integers, by brute force: {(id, earlier id)}."""
+    p, out = chroma.Printer(8000, 256, 64, 60.0, 3600.0), set()
+    ints = {i: p.prints(np.frombuffer(b, np.uint8).astype(np.float32) - 128, np.array([0, len(b)]))[0].view(np.uint32) for i, b in rows}
+    for (i, x), (j, y) in itertools.permutations(ints.items(), 2):
+        for o in range(4 - len(x), len(y) - 3) if j < i else ():
+            a, b = x[max(0, -o) : len(y) - o], y[max(0, o) : len(x) + o]
+            same = np.convolve(a == b, np.ones(4), "valid") == 4
+            if same.any() and np.bitwise_count(a ^ b).sum() <= max_ber * 32 * len(a):
+                out.add((i, j))
+    return out
+
+
+def test_chroma_every_link(spark):
+    """B and C are near copies, and all their landmarks also stand in earlier recordings, each of which is unlike both."""
+    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
+    b = pcm(tune(64 * 400, 5))
+    owners = [(i, pcm(tune(64 * 300, 10 + i)) + b[64 * 80 * i : 64 * (80 * i + 120)] + pcm(tune(64 * 300, 20 + i))) for i in range(5)]
+    rows = [*owners, (10, b), (11, b[: 64 * 390]), (12, b[64 * 5 :]), (20, pcm(tune(64 * 300, 30)))]
+    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
+    exp = alike(rows)
+    assert {(11, 10), (12, 10), (12, 11)} <= exp
+    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in pair for pair in exp) for i in got}
+    assert got[11].match_id == got[12].match_id == 10 and got[11].aligned and got[12].aligned and got[12].offset == 5
+    assert got[10].component_id == got[11].component_id == got[12].component_id == 10 and got[20].component_id == 20 and not got[10].aligned
+
+
+def test_chroma_blocks(spark, monkeypatch):
+    """The result doesn't depend on how the holders of a landmark are dealt."""
+    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
+    g, a = np.random.default_rng(4), tune(64 * 60, 6)
+    rows = [(i, pcm(np.concatenate([a[: 64 * 40], tune(64 * int(g.integers(5, 60)), 100 + i)]))) for i in range(30)] + [(None, pcm(a)), (50, pcm(np.zeros(3000))), (51, pcm(np.zeros(5000)))]
+    df = spark.createDataFrame(rows, "media_id long, pcm binary")
+    whole = sorted(map(tuple, chroma.align(chroma.fingerprints(df)).collect()), key=repr)
+    monkeypatch.setattr(chroma, "BLOCK", 7)
+    assert sorted(map(tuple, chroma.align(chroma.fingerprints(df.repartition(5))).collect()), key=repr) == whole
+    assert len({r[0] for r in whole if r[5]}) > 10
+
+
 # ---- 4
 
 
