@@ -131,6 +131,20 @@ def test_chroma_blocks(spark, monkeypatch):
     assert len({r[0] for r in whole if r[5]}) > 10
 
 
+def test_chroma_short(spark):
+    """Exact excerpts of every length of a longer recording, before and after it, are found at their place."""
+    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
+    a, least = pcm(tune(64 * 500, 7)), 256 + 15 * 64
+    rows = [(100, a), (200, pcm(tune(64 * 300, 8)))] + [(101 + n, a[64 * (20 + 30 * n) :][: least + 64 * n]) for n in range(13)] + [(n, a[64 * (7 + 31 * n) :][: least + 64 * n]) for n in (1, 5, 9)]
+    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
+    for n in range(13):
+        r = got[101 + n]
+        assert (r.n_prints, r.match_id, r.offset, r.overlap, r.bit_errors, r.aligned) == (n + 1, 100, 20 + 30 * n, n + 1, 0, True)
+        assert r.component_id == (101 + n if n < 3 else got[100].component_id)
+    assert (got[1].match_id, got[1].offset) == (100, 38) and got[5].match_id is None and got[5].n_links >= 1
+    assert got[100].match_id in (5, 9) and got[100].aligned and got[200].match_id is None
+
+
 # ---- 4
 
 
