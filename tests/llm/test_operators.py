@@ -145,6 +145,14 @@ def test_chroma_short(spark):
     assert got[100].match_id in (5, 9) and got[100].aligned and got[200].match_id is None
 
 
+def test_chroma_short_classes(spark):
+    """Different short recordings with equal integers stay two classes that match; equal ones are one."""
+    rows = [(1, b"\x80" * 900), (2, b"\x80" * 1100), (3, b"\x80" * 900)]
+    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 1 and [got[i].class_id for i in (1, 2, 3)] == [1, 2, 1] and [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1]
+    assert (got[2].match_id, got[2].offset, got[2].overlap, got[2].aligned) == (1, 0, 1, True) and got[1].match_id is None and got[1].n_links == 1
+
+
 # ---- 4
 
 
