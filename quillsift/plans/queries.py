@@ -482,3 +482,66 @@ def table_formats(spark, sf_dir):
     return found.groupBy("t.format").agg(F.count("*").alias("n"), F.min("t.confidence").alias("least"), F.max("t.confidence").alias("most"))
 
 
+# ---- the same operators over whole texts, into which the fragments are put; DuckDB can't follow
+
+_LINES = "split(text, chr(10), -1)"
+_IN_TSV = f"concat('number of the document', chr(9), 'its text', chr(10), array_join(transform({_LINES}, x -> concat(doc_id, chr(9), x)), chr(10)))"
+_CELLS = f"array_join(transform({_LINES}, (x, i) -> concat('| ', i, ' | ', replace(x, '|', concat(chr(92), '|')), ' |')), chr(10))"
+_IN_MD = f"concat('| line | text |', chr(10), '|:---|---:|', chr(10), {_CELLS})"
+_OR_OWN = f"CASE WHEN contains(text, '|') THEN text ELSE {_IN_MD} END"
+_WITH_COMMANDS = f"concat(text, chr(10), {DIRTY_COMMANDS})"
+SECRET_AT_END = DIRTY_SECRET.replace("THEN concat('xo'", "THEN concat(text, ' xo'").replace("THEN concat('ey'", "THEN concat(text, ' ey'").replace("THEN repeat('Zz9+', 11)", "THEN concat(text, ' ', repeat('Zz9+', 11))").replace("THEN concat('-----BEGIN '", "THEN concat(text, chr(10), '-----BEGIN '").replace("THEN concat('s'", "THEN concat(text, ' s'")
+
+
+@query()
+def secret_pattern_whole(spark, sf_dir):
+    return docs(spark, sf_dir, SECRET_AT_END).select("doc_id", native.secret_name(F.col("text")).alias("pattern"))
+
+
+@query()
+def json_pretty_whole(spark, sf_dir):
+    own = docs(spark, sf_dir, "to_json(named_struct('text', text, 'lang', lang, 'a', array(doc_id, null)))").select("doc_id", "text")
+    return cleaner.clean(own, names=["structural_detection"]).select("doc_id", "cleaned", "ctx.content_type")
+
+
+@query()
+def markdown_of_delimited_whole(spark, sf_dir):
+    return cleaner.clean(docs(spark, sf_dir, _IN_TSV).select("doc_id", "text"), names=["structural_detection"]).select("doc_id", "cleaned")
+
+
+@query()
+def codespans_whole(spark, sf_dir):
+    own = docs(spark, sf_dir, DIRTY_TOKENS).select("doc_id", "text")
+    return cleaner.clean(own, config=Config(Settings(auto_wrapper=True)), names=["auto_wrapper"]).select("doc_id", "cleaned")
+
+
+@query()
+def table_rows_whole(spark, sf_dir):
+    """The rows of documents that hold bars, and of a table of the lines of all others."""
+    found = docs(spark, sf_dir, _OR_OWN).select("doc_id", text.table_column(F.col("text")).alias("t"))
+    return found.select("doc_id", "t.format", "t.confidence", F.posexplode("t.rows").alias("row_no", "cells"))
+
+
+@query()
+def table_gate_whole(spark, sf_dir):
+    """Every other table has no rule line."""
+    own = docs(spark, sf_dir, f"CASE WHEN doc_id % 2 = 0 OR contains(text, '|') THEN {_OR_OWN} ELSE concat('line | text', chr(10), array_join(transform({_LINES}, (x, i) -> concat(i, ' | ', x)), chr(10))) END")
+    found = own.select("doc_id", text.table_column(F.col("text")).alias("t")).select("doc_id", native.gated(F.col("t"), True, 0.8).alias("t"))
+    return found.select("doc_id", "t.detected", F.array_join("t.warnings", "; ").alias("warning"), "t.rows")
+
+
+@query()
+def shell_commands_whole(spark, sf_dir):
+    own = docs(spark, sf_dir, _WITH_COMMANDS).select("doc_id", F.posexplode(native.lines(F.col("text"))).alias("line_no", "line"))
+    return own.select("doc_id", "line_no", native.is_shell_command(F.col("line")).alias("command"))
+
+
+@query()
+def wrapped_commands_whole(spark, sf_dir):
+    return docs(spark, sf_dir, f"concat({_WITH_COMMANDS}, chr(10), '# note', chr(10), ' ls ')").select("doc_id", native.wrapped_commands(F.col("text")).alias("text"))
+
+
+@query()
+def collapsed_padding_whole(spark, sf_dir):
+    own = docs(spark, sf_dir).select("doc_id", F.posexplode(native.lines(F.col("text"))).alias("line_no", "line"))
+    return own.select("doc_id", "line_no", native.collapsed_padding(F.expr("concat(repeat(' ', CAST(doc_id % 30 AS INT)), line, '    x   ')")).alias("line"))
