@@ -99,8 +99,6 @@ class Mixture:
             likelihood = float(single[best])
             for size in range(2, k + 1):
                 own = sorted(order[:size].tolist())
-                if every[order[size - 1]] < 0.02:
-                    break
                 got, now = self.fit(np.ascontiguousarray(p[:, own]), c, every[own] / every[own].sum(), self.rounds)
                 if now - likelihood <= self.penalty * np.log(c.sum() + 1):
                     break

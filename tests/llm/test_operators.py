@@ -37,6 +37,14 @@ def test_language_id(spark, docs):
         language_id.identify(docs.withColumn("score", F.lit(1)), model)
 
 
+def test_language_id_small_share(spark, docs):
+    """A few hundred words of another language in a very long text are in the mixture."""
+    model = language_id.learn(docs)
+    words = {lang: " ".join(r.text for r in docs.where(F.col("lang") == lang).orderBy("doc_id").collect()).split() for lang in ("en", "de")}
+    _, _, mixture = model.infer(" ".join((words["en"] * 20)[:20_000] + (words["de"] * 20)[1000:1250]))
+    assert [x for x, _ in mixture][0] == "en" and 0.002 < dict(mixture)["de"] < 0.02
+
+
 # ---- 2
 
 
