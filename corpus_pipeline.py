@@ -50,8 +50,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = segment_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, emit="digest", columns=("doc_id", "source"))
-    return found.select("doc_id", "source", F.size("samples").alias("n_samples"), *[F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "ids_digest", "logp", "perturbed", "log_inclusion")])
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return segment_sampling.shown(segment_sampling.sample_segmentations(docs, path, k=2, columns=("doc_id", "source", "text")), path)
 
 
 STAGES = [

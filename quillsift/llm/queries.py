@@ -60,8 +60,8 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), k=2, emit="digest", columns=("doc_id",))
-    return found.select("doc_id", F.size("samples").alias("n_samples"), *[F.col(f"samples.{c}").alias(c) for c in ("n_pieces", "ids_digest", "logp", "perturbed", "log_inclusion")])
+    path = public_tokenizers.path(PIECES)
+    return segment_sampling.shown(segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), path, k=2, columns=("doc_id", "text")), path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, mix64, pa_schema, small_batches
+from .common import IntTable, map_batches, mix64, pa_schema, small_batches
 
 SPACE = "▁"
 SLICE_CHARS = 60_000
@@ -377,5 +377,27 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
     return docs.select(*keep, F.col(text_col).alias("_sampled"), F.col(key_col).cast("long").alias("_key")).mapInArrow(run, schema)
 
 
+def shown(found: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
+    """sample_segmentations() with ids, without the text: n_samples, and arrays of one entry a sample: ids, n_pieces, ids_digest, decoded
+    (the ids give the text back), logp, perturbed, log_inclusion."""
+    keep = [c for c in found.columns if c not in (text_col, "samples")]
+    parts = found.select(*keep, F.col(text_col).alias("_text"), *[F.col(f"samples.{c}").alias(c) for c in ("ids", "logp", "perturbed", "log_inclusion")])
+    schema = ", ".join([*(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keep), "n_samples int, ids array<array<int>>, n_pieces array<int>, ids_digest array<string>, decoded array<boolean>, logp array<double>, perturbed array<double>, log_inclusion array<double>"])
+
+    def make():
+        decode = decoder(path)
+
+        def work(batch):
+            ids, texts = batch.column("ids").to_pylist(), batch.column("_text").to_pylist()
+            return {c: batch.column(c) for c in (*keep, "ids", "logp", "perturbed", "log_inclusion")} | {
+                "n_samples": [len(x) for x in ids], "n_pieces": [[len(i) for i in x] for x in ids], "ids_digest": [[ids_digest(np.array(i, np.int32)) for i in x] for x in ids],
+                "decoded": [[decode(i) == t for i in x] for x, t in zip(ids, texts, strict=True)],
+            }
+
+        return work
+
+    return map_batches(parts, schema, make, rows=64)
+
+
 def decoder(path: str) -> Callable[[list[int]], str]:
     return lattice_of(path, 1.0).decode

@@ -317,6 +317,19 @@ def test_segment_sampling(spark, docs):
     assert segment_sampling.sample_segmentations(df.limit(0), path).count() == 0
 
 
+def test_segment_ids_in_results(spark, docs):
+    """The query and the pipeline's last stage return the ids, which give the texts back."""
+    import corpus_pipeline
+
+    lat, texts = segment_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0), {r.doc_id: r.text for r in docs.collect()}
+    for df in (queries.QUERIES["op10_segment_sampling"](spark, SF), corpus_pipeline.STAGES[-1][1](spark, docs, SF)):
+        got = df.collect()
+        assert len(got) == len(texts)
+        for r in got:
+            assert all(r.decoded) and all(lat.decode(i) == texts[r.doc_id] for i in r.ids) and r.n_samples == len(r.ids)
+            assert r.n_pieces == [len(i) for i in r.ids] and r.ids_digest == [segment_sampling.ids_digest(np.array(i)) for i in r.ids]
+
+
 def test_segment_distribution():
     lat = segment_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
     weight = {lat.pieces[i]: w for i, w in zip(lat.ids, lat.log, strict=True)}
