@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows that one step inside a Python worker handles at once; bounds a worker's memory beside one Arrow batch.
 SLICE_ROWS, BATCH_ROWS = 256, 1024
@@ -35,15 +39,85 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables that were written and not deleted yet: path to a weak reference of the JVM to the file index that every plan on it holds.
+_LIVE: dict[str, object] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors, and lets AQE split
-    skewed joins on the result, as a table that was read has no partitioning of its own."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{label}-{uuid.uuid4().hex}"
+    skewed joins on the result, as a table that was read has no partitioning of its own.
+
+    The table goes with drop(), or some time after the last plan that reads it (see sweep()), or when Spark ends."""
+    spark = df.sparkSession
+    sweep(spark)
+    base = f"{shared_dir(spark)}/tables"
+    path = f"{base}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    jvm = spark._jvm
+    _LIVE[path] = jvm.java.lang.ref.WeakReference(out._jdf.queryExecution().analyzed().relation().location())
+    jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm.org.apache.hadoop.fs.Path(base))
+    out._table = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _LIVE.pop(path, None)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that no later step reads."""
+    for t in tables:
+        if (path := getattr(t, "_table", None)) in _LIVE:
+            _delete(t.sparkSession, path)
+
+
+def sweep(spark: SparkSession, now: bool = False) -> int:
+    """Deletes the tables that no plan can read any more, and returns how many are left. now: collects garbage first, so that
+    plans that went out of use are known to have."""
+    if now:
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
+    for path, held in list(_LIVE.items()):
+        if held.get() is None:
+            _delete(spark, path)
+    return len(_LIVE)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = SLICE_ROWS) -> DataFrame:
+def named(column: str) -> Column:
+    """A column by its name as it stands, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of df as one struct, which no other name can clash with; `row.*` gives them back."""
+    return F.struct(*map(named, df.columns))
+
+
+def passing(df: DataFrame, columns: tuple[str, ...] | None, new: str) -> tuple[list[str], StructType]:
+    """The columns of df (or those given) that pass an operator, and the schema of its result with the new columns after them. A
+    column with the name of a new one, whatever the case, is replaced."""
+    added = StructType.fromDDL(new)
+    taken = {f.name.lower() for f in added}
+    keep = [c for c in (df.columns if columns is None else columns) if c.lower() not in taken]
+    return keep, StructType([*(df.schema[c] for c in keep), *added])
+
+
+def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = SLICE_ROWS) -> DataFrame:
     """df.mapInArrow over slices of at most `rows` rows. make() runs once a task and returns the function of a slice, which
     returns columns by name."""
     out = pa_schema(df.sparkSession, schema)
@@ -65,11 +139,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def pa_schema(spark: SparkSession, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def pa_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
