@@ -2,7 +2,7 @@
 
 Model: for each language the counts of hashed character n-grams (1 to 3 over words in lower case with a mark at both ends) of a
 bounded sample of labelled texts, smoothed towards all languages together. The sample is what hash(doc_id) picks: about
-`sample` documents a language, so its size doesn't grow with the corpus.
+`sample` documents a language and the `most` most frequent languages, so its size doesn't grow with the corpus.
 
 Prediction: an n-gram of a text is drawn from language l with its proportion p_l. Expectation-maximisation over the text's
 distinct n-grams estimates the proportions over all languages; languages are then added in order of proportion, each set
@@ -13,7 +13,7 @@ language. Only the text is an input.
 Nulls: null text is `und` with score 0. Null languages are not learned; null ids are, as crc32 of null is null, held in.
 Empty texts and texts without a letter: `und`, 0. Very long texts: whole texts (n-grams are counted, a worker holds one).
 Ties go to the language that is first by code point; repeated rows are predicted alike. Empty tables give no rows; without
-any labelled row all is `und`. Extra columns pass through; the new names must be free (ValueError).
+any labelled row all is `und`. Extra columns pass through; one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import free_names, map_batches, named, passing
 
 BUCKETS = 1 << 16
 #: Documents a language that the model learns from, about.
 SAMPLE = 3000
 UND = "und"
+#: Languages that a model holds at most: what is sent to each task is 0.5 MB a language, however dirty the labels.
+LANGUAGES = 500
 #: n-grams overlap, so a text has fewer independent draws than n-grams: their share, for likelihoods.
 DRAWS = 0.3
 
@@ -108,10 +110,10 @@ class Mixture:
         return self.langs[chosen[top]], min(1.0, max(0.0, score)), sorted(((self.langs[i], float(s)) for i, s in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
-def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, penalty: float = 4.0) -> Mixture:
-    """The mixture of the languages of labelled (rows with null text or language are ignored)."""
+def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, penalty: float = 4.0, most: int = LANGUAGES) -> Mixture:
+    """The mixture of the languages of labelled: the `most` most frequent ones (rows with null text or language are ignored)."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    many = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    many = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     langs = sorted(many)
     if not langs:
         return Mixture([], np.ones((1, BUCKETS)), penalty)
@@ -127,7 +129,7 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         row, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[row, at])], names=["lang", "gram", "n"])
 
-    parts = rows.where(spot < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang int, gram int, n double")
+    parts = rows.where(F.col(lang_col).isin(langs) & (spot < share)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang int, gram int, n double")
     counts = np.zeros((len(langs), BUCKETS))  # languages x BUCKETS at most, however large the corpus
     table = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     counts[table["lang"].to_numpy(), table["gram"].to_numpy()] = table["n"].to_numpy()
@@ -136,11 +138,8 @@ def learn(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
     """docs (or its `columns`) with lang_pred, score, and mixture: the chosen languages with their proportions, largest first."""
-    keep = list(docs.columns if columns is None else columns)
-    if clash := {"lang_pred", "score", "mixture"} & set(keep):
-        raise ValueError(f"columns in use: {sorted(clash)}")
-    chosen = docs.select(*keep, F.col(text_col).alias("_judged"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string, score double, mixture array<struct<lang:string,share:double>>"])
+    keep, schema = passing(docs, columns, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    chosen = docs.select(*map(named, keep), F.col(text_col).alias(*free_names(docs, "text")))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -148,7 +147,7 @@ def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text", columns
 
         def work(batch: pa.RecordBatch) -> dict:
             found = [infer(t) for t in batch.column(len(keep)).to_pylist()]
-            return {c: batch.column(i) for i, c in enumerate(keep)} | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "mixture": [[{"lang": a, "share": s} for a, s in x[2]] for x in found]}
+            return dict(zip(keep, batch.columns)) | {"lang_pred": [x[0] for x in found], "score": [x[1] for x in found], "mixture": [[{"lang": a, "share": s} for a, s in x[2]] for x in found]}
 
         return work
 

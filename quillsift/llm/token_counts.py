@@ -7,7 +7,7 @@ sequences without a ranked pair leave the arrays, and the symbols they end with
 
 Nulls and empty texts: 0 bytes, 0 tokens. Very long texts: whole texts; a batch is merged whenever BATCH_BYTES wait.
 Ties (equal pairs in a sequence) merge in one round; repeated rows count alike; empty tables give no rows.
-Other columns pass through; the new names must be free (ValueError).
+Other columns pass through; one with the name of a new column is replaced.
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import IntTable, map_batches
+from .common import IntTable, free_names, map_batches, named, passing
 
 #: Pre-tokens that a task remembers before it starts anew, and bytes of new ones that it merges at once.
 CACHE_TOKENS, BATCH_BYTES = 400_000, 2_000_000
@@ -133,13 +134,8 @@ class TokenCounter:
 def count_tokens(docs: DataFrame, path: str, pattern: str, *, limit: int = 1024, text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
     """docs (or its `columns`) with n_bytes, n_tokens and over_limit (more than `limit` tokens). path: the vocabulary file, which
     each executor must have; pattern: its pre-token pattern."""
-    keep = list(docs.columns if columns is None else columns)
-    if clash := {"n_bytes", "n_tokens", "over_limit"} & set(keep):
-        raise ValueError(f"columns in use: {sorted(clash)}")
-    from pyspark.sql import functions as F
-
-    chosen = docs.select(*keep, F.col(text_col).alias("_counted"))
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "n_bytes long, n_tokens long, over_limit boolean"])
+    keep, schema = passing(docs, columns, "n_bytes long, n_tokens long, over_limit boolean")
+    chosen = docs.select(*map(named, keep), F.col(text_col).alias(*free_names(docs, "text")))
 
     def make():
         counter = TokenCounter(path, pattern)
@@ -147,7 +143,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, *, limit: int = 1024,
         def work(batch: pa.RecordBatch) -> dict:
             texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
             n = counter.count(texts)
-            return {c: batch.column(i) for i, c in enumerate(keep)} | {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+            return dict(zip(keep, batch.columns)) | {"n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
 
         return work
 
