@@ -60,8 +60,7 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(PIECES)
-    return segment_sampling.shown(segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), path, k=2, columns=("doc_id", "text")), path)
+    return segment_sampling.shown(segment_sampling.sample_segmentations(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), k=2, columns=("doc_id",)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -17,7 +17,8 @@ and all steps run over whole slices of texts in numpy.
 Nulls and empty texts: no samples (empty arrays). A null row key counts as 0. Very long texts: whole texts, up to SLICE_CHARS of
 them (or one) at a time. Ties: equal keys and texts have equal samples; ties of priorities go to the earlier pop and place.
 A text with fewer than k segmentations gives all it has, with inclusion score 0 (certain). Empty tables give no rows.
-U+2581 in a text is a space to SentencePiece, and decodes as one. Extra columns pass through; the new name `samples` must be free.
+U+2581 in a text is a space to SentencePiece, and decodes as one (decoded is then false). Extra columns pass through; one with the name
+of a new column is replaced. Repeated rows have equal samples, each row its own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, map_batches, mix64, pa_schema, small_batches
+from .common import IntTable, free_names, mix64, named, pa_schema, passing, small_batches, text_bytes
 
 SPACE = "▁"
 SLICE_CHARS = 60_000
@@ -80,6 +81,8 @@ class Lattice:
             known[int(h[0])] = at
         self.table, self.begins = IntTable(np.array(list(known), np.uint64).view(np.int64)), np.array(list(known.values()), np.int64)
         self.used, self.held = 0, None
+        own = {int(b): bytes([i]) for i, b in enumerate(self.bytes) if b >= 0}
+        self.piece_bytes = pa.array([own[i] if i in own else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
 
     @staticmethod
     def _step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -167,11 +170,7 @@ class Lattice:
         return np.take(np.ascontiguousarray(piece.T), order, axis=0), np.take(np.ascontiguousarray(prob.T), order, axis=0)
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        byte = {int(b): i for i, b in enumerate(self.bytes) if b >= 0}
-        for i in ids:
-            out += bytes([byte[int(i)]]) if int(i) in byte else self.pieces[int(i)].replace(SPACE, " ").encode()
-        return out.decode("utf-8", "replace")[1:]
+        return b"".join(self.piece_bytes.take(pa.array(ids, pa.int32())).to_pylist()).decode("utf-8", "replace")[1:]
 
     def sample(self, texts: list[str], keys: np.ndarray, k: int, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to k of (ids, log-probability, perturbed log-probability, log inclusion score), best first."""
@@ -346,14 +345,35 @@ def ids_digest(ids: np.ndarray) -> str:
     return xxhash.xxh3_128_hexdigest(ids.astype("<i4").tobytes())
 
 
-def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float = 1.0, seed: int = 0, emit: str = "ids", key_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """docs (or its `columns`) with samples: array of (ids, or with emit="digest" their number and digest; logp, perturbed,
+def _arrays(found: list[list], texts: pa.Array, lat: Lattice, kind: pa.ListType) -> pa.Array:
+    """Samples of a slice as an array of `kind`, without a Python object an id; what the ids decode to is compared with the texts' bytes."""
+    every = [x for own in found for x in own]
+    sizes = np.array([len(x[0]) for x in every], np.int64)
+    flat = np.concatenate([x[0] for x in every]).astype(np.int32) if every else np.empty(0, np.int32)
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    said = lat.piece_bytes.take(pa.array(flat))
+    _, at, data = said.buffers()
+    at = np.frombuffer(at, np.int32)[said.offset : said.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    raw, offs = text_bytes(texts)
+    decoded, sample = [], 0
+    for i, own in enumerate(found):
+        text = raw[offs[i] : offs[i + 1]]
+        for _ in own:
+            lo, hi = at[to[sample]], at[to[sample + 1]]
+            decoded.append(hi - lo == len(text) + 1 and data[lo] == 0x20 and np.array_equal(data[lo + 1 : hi], text))
+            sample += 1
+    struct = kind.value_type
+    ids = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(flat), type=struct.field("ids").type)
+    columns = [ids, pa.array([ids_digest(x[0]) for x in every], pa.string()), pa.array(decoded, pa.bool_()), *(pa.array([x[i] for x in every], pa.float64()) for i in (1, 2, 3))]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(own) for own in found])]).astype(np.int32)), pa.StructArray.from_arrays(columns, fields=list(struct)), type=kind)
+
+
+def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float = 1.0, seed: int = 0, key_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """docs (or its `columns`) with samples: array of (ids, ids_digest, decoded: whether the ids decode to the text, logp, perturbed,
     log_inclusion), best perturbed first. path: the model, which each executor must have."""
-    keep = list(docs.columns if columns is None else columns)
-    if "samples" in keep:
-        raise ValueError("column in use: samples")
-    own = "ids:array<int>" if emit == "ids" else "n_pieces:int,ids_digest:string"
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), f"samples array<struct<{own},logp:double,perturbed:double,log_inclusion:double>>"])
+    keep, schema = passing(docs, columns, "samples array<struct<ids:array<int>,ids_digest:string,decoded:boolean,logp:double,perturbed:double,log_inclusion:double>>")
+    text, key = free_names(docs, "text", "key")
     out = pa_schema(docs.sparkSession, schema)
     small_batches(docs.sparkSession)
 
@@ -367,36 +387,25 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
                 while to < len(texts) and (to == at or size + len(texts[to] or "") <= SLICE_CHARS):
                     size += len(texts[to] or "")
                     to += 1
-                got = lat.sample([t or "" for t in texts[at:to]], keys[at:to], k, seed)
-                shown = [[({"ids": i.tolist()} if emit == "ids" else {"n_pieces": len(i), "ids_digest": ids_digest(i)}) | {"logp": lp, "perturbed": g, "log_inclusion": q} for i, lp, g, q in own] for own in got]
                 part = batch.slice(at, to - at)
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(shown, out.field("samples").type)], schema=out)
+                found = lat.sample([t or "" for t in texts[at:to]], keys[at:to], k, seed)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), _arrays(found, part.column(len(keep)), lat, out.field("samples").type)], schema=out)
                 at = to
         lat.forget()
 
-    return docs.select(*keep, F.col(text_col).alias("_sampled"), F.col(key_col).cast("long").alias("_key")).mapInArrow(run, schema)
+    return docs.select(*map(named, keep), F.col(text_col).alias(text), F.col(key_col).cast("long").alias(key)).mapInArrow(run, schema)
 
 
-def shown(found: DataFrame, path: str, *, text_col: str = "text") -> DataFrame:
-    """sample_segmentations() with ids, without the text: n_samples, and arrays of one entry a sample: ids, n_pieces, ids_digest, decoded
-    (the ids give the text back), logp, perturbed, log_inclusion."""
-    keep = [c for c in found.columns if c not in (text_col, "samples")]
-    parts = found.select(*keep, F.col(text_col).alias("_text"), *[F.col(f"samples.{c}").alias(c) for c in ("ids", "logp", "perturbed", "log_inclusion")])
-    schema = ", ".join([*(f"`{c}` {found.schema[c].dataType.simpleString()}" for c in keep), "n_samples int, ids array<array<int>>, n_pieces array<int>, ids_digest array<string>, decoded array<boolean>, logp array<double>, perturbed array<double>, log_inclusion array<double>"])
+#: Columns of shown(), after those that are kept.
+SHOWN = ("n_samples", "ids", "n_pieces", "ids_digest", "decoded", "logp", "perturbed", "log_inclusion")
 
-    def make():
-        decode = decoder(path)
 
-        def work(batch):
-            ids, texts = batch.column("ids").to_pylist(), batch.column("_text").to_pylist()
-            return {c: batch.column(c) for c in (*keep, "ids", "logp", "perturbed", "log_inclusion")} | {
-                "n_samples": [len(x) for x in ids], "n_pieces": [[len(i) for i in x] for x in ids], "ids_digest": [[ids_digest(np.array(i, np.int32)) for i in x] for x in ids],
-                "decoded": [[decode(i) == t for i in x] for x, t in zip(ids, texts, strict=True)],
-            }
-
-        return work
-
-    return map_batches(parts, schema, make, rows=64)
+def shown(found: DataFrame) -> DataFrame:
+    """sample_segmentations() with n_samples, and arrays of one entry a sample: ids, n_pieces, ids_digest, decoded, logp, perturbed,
+    log_inclusion. Other columns with these names are replaced."""
+    keep = [c for c in found.columns if c != "samples" and c.lower() not in SHOWN]
+    more = {"n_samples": F.size("samples"), "n_pieces": F.transform("samples.ids", F.size)}
+    return found.select(*map(named, keep), *[more.get(c, F.col(f"samples.{c}")).alias(c) for c in SHOWN])
 
 
 def decoder(path: str) -> Callable[[list[int]], str]:
