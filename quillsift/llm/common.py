@@ -166,18 +166,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the A-Z lower-cased words of ragged texts, and for each text the index of its first word (one more at the end)."""
+def word_starts(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the first bytes of the words of ragged texts, and which bytes are between words."""
     space = IS_SPACE[raw]
     start = ~space
     start[1:] &= space[:-1]
     first = offs[:-1][offs[:-1] < offs[1:]]
     start[first] = ~space[first]
-    at = np.flatnonzero(start)
+    return np.flatnonzero(start), space
+
+
+def word_hashes(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the A-Z lower-cased words of ragged texts, and for each text the index of its first word (one more at the end)."""
+    at, space = word_starts(raw, offs)
     bounds = np.searchsorted(at, offs)
     if not len(at):
         return np.empty(0, np.uint64), bounds
-    place = np.arange(len(raw)) - at[np.maximum(np.cumsum(start) - 1, 0)]
+    place = np.arange(len(raw))
+    place[at[0] :] -= np.repeat(at, np.diff(np.append(at, len(raw))))
     place[space] = 0
     place = np.maximum(place, 0)
     powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, dtype=np.uint64))

@@ -26,9 +26,11 @@ Extra columns are ignored by near_duplicates() and pass through one_of_each(), w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, free_names, map_batches, materialise, mix64, shingle_sets, text_bytes
@@ -292,8 +294,9 @@ def prefixes(texts: DataFrame, nodes: DataFrame, percent: int, words: int) -> Da
     return out
 
 
-def rest(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different labels that share a rare shingle early enough in both orders, and have fitting sizes.
+def rest(rare: DataFrame, labels: DataFrame, percent: int, needed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """All pairs of different labels that share a rare shingle early enough in both orders, and have fitting sizes. needed: what sets
+    of two sizes must share, by default for their union. A written table.
 
     Members of a shingle's largest label stand on one side only, so a bucket of one large component and a few strays costs
     strays times members. If the i-th and j-th shingles are the first in common, at most 1 + min(nx - i, ny - j) are. Sizes fall
@@ -304,7 +307,7 @@ def rest(rare: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     counts = at.groupBy("key", "label").agg(F.count("*").alias("c"))
     buckets = materialise(counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("most.label").alias("most")), "rare_buckets")
     within = materialise(at.join(buckets, "key").withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / step).cast("long")), "within")
-    least = lambda a, b: F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9)  # noqa: E731  what two sets must share
+    least = needed or (lambda a, b: F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent) - 1e-9))
     some = within.where("label != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("label").alias("lx"), F.explode(F.sequence(F.col("size_class") - 9, F.col("size_class") + 9)).alias("size_class"))
     some = some.where(1 + F.col("nx") - F.col("ix") >= least(F.col("nx"), F.floor(F.exp(F.col("size_class") * step))))
     every = within.select("key", "size_class", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("label").alias("ly"), (F.col("label") == F.col("most")).alias("in_most"))

@@ -29,9 +29,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus has no recordings: the bytes of each text are taken as unsigned 8-bit PCM."""
-    media = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("pcm"))
-    return chroma.align(chroma.fingerprints(media, id_col="doc_id")).withColumnRenamed("media_id", "doc_id")
+    """The corpus has no recordings: each text is played, a word a tone."""
+    return chroma.recordings(table(spark, sf_dir, "documents"), id_col="doc_id", media_col="text", how=chroma.TEXT).withColumnRenamed("media_id", "doc_id")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,9 @@ def test_language_id(spark, docs):
     assert [r.lang_pred for r in language_id.identify(odd, model, text_col="t").orderBy("id").collect()] == ["und", "und", "und", "de"]
     none = language_id.learn(spark.createDataFrame([(1, None, "en"), (2, "a", None)], "doc_id long, text string, lang string"))
     assert none.infer("abc")[0] == "und" and language_id.identify(odd.limit(0), model, text_col="t").count() == 0
-    with pytest.raises(ValueError):
-        language_id.identify(docs.withColumn("score", F.lit(1)), model)
+    odd = odd.withColumns({"score": F.lit("own"), "Mixture": F.lit(1), "text": F.lit(2)})
+    got = language_id.identify(odd.unionByName(odd), model, text_col="t").collect()
+    assert got[0].asDict().keys() == {"id", "t", "text", "lang_pred", "score", "mixture"} and len(got) == 8 and all(isinstance(r.score, float) and r.text == 2 for r in got)
 
 
 def test_language_id_small_share(spark, docs):
@@ -64,101 +65,11 @@ def test_url_filters(spark):
         got = url_filters.judge_urls(df, url_filters.rules_table(spark, rules)).collect()
         assert sorted(((r.page_id or 0), r.host, r.path, r.rule, r.verdict) for r in got) == sorted((i, *brute(u, rules)) for i, u in enumerate(urls))
     assert url_filters.judge_urls(df.limit(0), url_filters.rules_table(spark)).count() == 0
-
-
-# ---- 3
-
-
-def tune(n, seed):
-    g, t, x = np.random.default_rng(seed), np.arange(n) / 8000, np.zeros(n)
-    for k in range(0, n, 1600):
-        x[k : k + 1600] = np.sin(2 * np.pi * 220 * 2 ** (g.integers(0, 24) / 12) * t[k : k + 1600])
-    return x
-
-
-def test_chroma(spark):
-    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
-    a, b = tune(60_000, 1), tune(60_000, 2)
-    noise = np.random.default_rng(0).normal(0, 0.02, 64 * 700)
-    rows = [(1, pcm(a)), (2, pcm(a[6400:])), (3, pcm(b)), (4, pcm(a[3200 : 3200 + 64 * 700] + noise)), (5, pcm(a)), (6, None), (7, b""), (8, b"abc"), (None, pcm(a)), (9, pcm(np.zeros(9000)))]
-    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
-    assert (got[2].match_id, got[2].offset, got[2].bit_errors, got[2].aligned) == (1, 100, 0, True)
-    assert (got[4].match_id, got[4].offset, got[4].aligned) == (1, 50, True) and not got[3].aligned
-    assert got[5].class_id == got[None].class_id == 1 and got[6].n_prints == got[7].n_prints == 0 and got[8].n_prints == 1
-    # integral image against plain sums
-    p = chroma.Printer(8000, 256, 64, 60.0, 3600.0)
-    raw = np.frombuffer(pcm(a[:4000]), np.uint8).astype(np.float32) - 128
-    prints = p.prints(raw, np.array([0, len(raw)]))[0]
-    image = p.chroma(raw, np.arange(0, len(raw) - 255, 64)).astype(float)
-    for t in (0, len(prints) - 1):
-        bits = 0
-        for parts, step in chroma.filters():
-            v = round(sum(s * image[t + x0 : t + x1, y0:y1].sum() for s, y0, y1, x0, x1 in parts), 6)
-            level = int(v > -step) + int(v > 0) + int(v > step)
-            bits = bits << 2 | (level ^ level >> 1)
-        assert np.uint32(bits).view(np.int32) == prints[t]
-    assert chroma.align(chroma.fingerprints(spark.createDataFrame([], "media_id long, pcm binary"))).count() == 0
-
-
-def alike(rows, max_ber=0.15):
-    """Links of all pairs at all offsets with an equal run of LANDMARK integers, by brute force: {(id, earlier id)}."""
-    p, out = chroma.Printer(8000, 256, 64, 60.0, 3600.0), set()
-    ints = {i: p.prints(np.frombuffer(b, np.uint8).astype(np.float32) - 128, np.array([0, len(b)]))[0].view(np.uint32) for i, b in rows}
-    for (i, x), (j, y) in itertools.permutations(ints.items(), 2):
-        for o in range(4 - len(x), len(y) - 3) if j < i else ():
-            a, b = x[max(0, -o) : len(y) - o], y[max(0, o) : len(x) + o]
-            same = np.convolve(a == b, np.ones(4), "valid") == 4
-            if same.any() and np.bitwise_count(a ^ b).sum() <= max_ber * 32 * len(a):
-                out.add((i, j))
-    return out
-
-
-def test_chroma_every_link(spark):
-    """B and C are near copies, and all their landmarks also stand in earlier recordings, each of which is unlike both."""
-    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
-    b = pcm(tune(64 * 400, 5))
-    owners = [(i, pcm(tune(64 * 300, 10 + i)) + b[64 * 80 * i : 64 * (80 * i + 120)] + pcm(tune(64 * 300, 20 + i))) for i in range(5)]
-    rows = [*owners, (10, b), (11, b[: 64 * 390]), (12, b[64 * 5 :]), (20, pcm(tune(64 * 300, 30)))]
-    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
-    exp = alike(rows)
-    assert {(11, 10), (12, 10), (12, 11)} <= exp
-    assert {i: r.n_links for i, r in got.items()} == {i: sum(i in pair for pair in exp) for i in got}
-    assert got[11].match_id == got[12].match_id == 10 and got[11].aligned and got[12].aligned and got[12].offset == 5
-    assert got[10].component_id == got[11].component_id == got[12].component_id == 10 and got[20].component_id == 20 and not got[10].aligned
-
-
-def test_chroma_blocks(spark, monkeypatch):
-    """The result doesn't depend on how the holders of a landmark are dealt."""
-    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
-    g, a = np.random.default_rng(4), tune(64 * 60, 6)
-    rows = [(i, pcm(np.concatenate([a[: 64 * 40], tune(64 * int(g.integers(5, 60)), 100 + i)]))) for i in range(30)] + [(None, pcm(a)), (50, pcm(np.zeros(3000))), (51, pcm(np.zeros(5000)))]
-    df = spark.createDataFrame(rows, "media_id long, pcm binary")
-    whole = sorted(map(tuple, chroma.align(chroma.fingerprints(df)).collect()), key=repr)
-    monkeypatch.setattr(chroma, "BLOCK", 7)
-    assert sorted(map(tuple, chroma.align(chroma.fingerprints(df.repartition(5))).collect()), key=repr) == whole
-    assert len({r[0] for r in whole if r[5]}) > 10
-
-
-def test_chroma_short(spark):
-    """Exact excerpts of every length of a longer recording, before and after it, are found at their place."""
-    pcm = lambda x: bytes(np.clip(x * 100 + 128, 0, 255).astype(np.uint8))
-    a, least = pcm(tune(64 * 500, 7)), 256 + 15 * 64
-    rows = [(100, a), (200, pcm(tune(64 * 300, 8)))] + [(101 + n, a[64 * (20 + 30 * n) :][: least + 64 * n]) for n in range(13)] + [(n, a[64 * (7 + 31 * n) :][: least + 64 * n]) for n in (1, 5, 9)]
-    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
-    for n in range(13):
-        r = got[101 + n]
-        assert (r.n_prints, r.match_id, r.offset, r.overlap, r.bit_errors, r.aligned) == (n + 1, 100, 20 + 30 * n, n + 1, 0, True)
-        assert r.component_id == (101 + n if n < 3 else got[100].component_id)
-    assert (got[1].match_id, got[1].offset) == (100, 38) and got[5].match_id is None and got[5].n_links >= 1
-    assert got[100].match_id in (5, 9) and got[100].aligned and got[200].match_id is None
-
-
-def test_chroma_short_classes(spark):
-    """Different short recordings with equal integers stay two classes that match; equal ones are one."""
-    rows = [(1, b"\x80" * 900), (2, b"\x80" * 1100), (3, b"\x80" * 900)]
-    got = {r.media_id: r for r in chroma.align(chroma.fingerprints(spark.createDataFrame(rows, "media_id long, pcm binary"))).collect()}
-    assert len({r.fingerprint for r in got.values()}) == 1 and [got[i].class_id for i in (1, 2, 3)] == [1, 2, 1] and [got[i].component_id for i in (1, 2, 3)] == [1, 2, 1]
-    assert (got[2].match_id, got[2].offset, got[2].overlap, got[2].aligned) == (1, 0, 1, True) and got[1].match_id is None and got[1].n_links == 1
+    # a URL of many dots and slashes, and keys of any name
+    far = spark.createDataFrame([(1, "z", "x://" + "a." * 30_000 + "example.com/en/" + "p/" * 30_000)], "key long, suffix string, url string")
+    assert [tuple(r)[:2] + (r.rule, r.verdict) for r in url_filters.judge_urls(far, url_filters.rules_table(spark), key_cols=("key", "suffix")).collect()] == [(1, "z", "example.com/en/", "block")]
+    with pytest.raises(ValueError):
+        url_filters.judge_urls(df, url_filters.rules_table(spark), key_cols=("host",))
 
 
 # ---- 4
@@ -173,6 +84,8 @@ def test_token_counts(spark, docs):
     for i, t in enumerate(texts):
         n = len(exact.encode(t or "", add_special_tokens=False))
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 1024)
+    clash = token_counts.count_tokens(df.limit(9).withColumns({"N_TOKENS": F.lit("own"), "text_": F.lit(1)}), P.path("byte_bpe_50k.json"), P.PATTERN)
+    assert clash.columns == ["doc_id", "text", "text_", "n_bytes", "n_tokens", "over_limit"] and all(g.n_tokens == got[g.doc_id].n_tokens for g in clash.collect())
     assert token_counts.count_tokens(df.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
@@ -204,7 +117,7 @@ def test_mixing(spark, docs):
         taken[s] += g.taken
         sizes[s] += g.size
         targets[s] = g.target
-        assert g.taken <= 2 * g.size and g.taken == g.copies * g.size
+        assert g.taken <= 2 * g.size and g.taken == g.copies * g.size and g.source == s
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     expected = fill(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 1.5, 2.0)
     for s in sizes:
@@ -219,6 +132,65 @@ def test_mixing(spark, docs):
         copies[(g.doc_id, texts[(g.doc_id, g.size)])] += g.copies
     assert rows == +copies
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mixed_rows(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(df, most=1.5)
+
+
+def queue(rows, weights, share, most):
+    """The whole queue in plain Python, row by row: {row number: copies}; rows: (doc_id, text, source, spot)."""
+    sizes, by = [len((t or "").split()) for _, t, _, _ in rows], {}
+    for i, r in enumerate(rows):
+        by.setdefault(r[2], []).append(i)
+    total = {s: sum(sizes[i] for i in own) for s, own in by.items()}
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    targets = fill(total, {s: weights[i % len(weights)] for i, s in enumerate(order)}, share, most)
+    turns = []
+    for s, own in by.items():
+        run = 0
+        if targets[s] > 0:
+            for e in range(most):
+                for i in sorted(own, key=lambda i: (rows[i][3] % 2**64 >> 1, rows[i][3])):
+                    run += sizes[i]
+                    turns.append((run / targets[s], i))
+    copies = Counter(i for f, i in turns if f <= 1 + 1e-12)
+    left = sum(targets.values()) - sum(sizes[i] * n for i, n in copies.items())
+    for f, i in sorted((f, i) for f, i in turns if f > 1 + 1e-12 and sizes[i]):
+        if sizes[i] > left:
+            break
+        left -= sizes[i]
+        copies[i] += 1
+    return copies, targets
+
+
+@pytest.mark.parametrize(("share", "most"), [(1.5, 2), (0.4, 1), (2.6, 3)])
+def test_mixing_queue(spark, docs, share, most):
+    """Copies of every document equal those of a plain queue."""
+    df = docs.where("doc_id % 3 = 0").select("doc_id", "text", "source").unionByName(spark.createDataFrame([(9001, None, None), (9002, "", "z"), (9003, "x y z", None)], "doc_id long, text string, source string"))
+    rows = [tuple(r) for r in df.select("doc_id", "text", "source", F.xxhash64(F.lit("shuffle"), "doc_id", "text")).collect()]
+    exp, targets = queue(rows, (5, 2, 1), share, most)
+    got = {r.doc_id: r for r in mixing.mix(df, share=share, most=most).collect()}
+    for i, (doc_id, text, source, _) in enumerate(rows):
+        assert got[doc_id].target == pytest.approx(targets[source]) and got[doc_id].copies <= most
+        if text:
+            assert got[doc_id].copies == exp[i], doc_id
+
+
+def test_mixing_repeated_and_clashing(spark, monkeypatch):
+    """Equal rows share their turns, whatever the portions; columns of any name pass through the mix; nothing depends on the parts."""
+    rows = [(7, "a b c", "s", i) for i in range(37)] + [(8, "a " * 400, "s", 99), (9, "q " * 60, "t", 98), (7, "a b c", "t", 97)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, spot long").withColumns({c: F.lit("own") for c in ("_id", "_copies", "row", "mark", "_times", "each", "file_name", "place", "one")})
+    for portion in (10_000, 5):
+        monkeypatch.setattr(mixing, "PORTION", portion)
+        for share in (0.3, 1.0, 1.5):
+            got = mixing.mix(df, share=share).collect()
+            assert len(got) == len(rows) and all(g.taken == g.copies * g.size and g.copies <= 2 for g in got)
+            for s in ("s", "t"):
+                own = [g for g in got if g.source == s]
+                assert abs(sum(g.taken for g in own) - own[0].target) <= max(g.size for g in own)
+            out = mixing.mixed_rows(df.repartition(5), share=share).collect()
+            assert Counter((r.doc_id, r.source) for r in out) == +Counter({k: sum(g.copies for g in got if (g.doc_id, g.source) == k) for k in {(r[0], r[2]) for r in rows}})
+            assert all(r._id == r.row == r.place == "own" for r in out) and max(Counter(r.spot for r in out).values(), default=0) <= 2
+
 
 
 # ---- 7
@@ -227,7 +199,8 @@ def test_mixing(spark, docs):
 def test_line_dedup(spark, docs):
     odd = [(5000, "A line of twenty chars!\nb"), (5001, " a line of twenty chars!\t\na line of twenty chars!"), (5002, "a line of TWENTY chars!"), (5003, None), (5004, ""), (None, "a line of twenty chars!"), (5005, "x" * 100_000)]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + odd
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, extra int")
+    rows += rows[3:5]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, mark int")
     hold = {}
     for n, (i, t) in enumerate(rows):
         for k in {line_dedup.line_key(x) for x in (t or "").split("\n")}:
@@ -237,11 +210,11 @@ def test_line_dedup(spark, docs):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(k := line_dedup.line_key(x)) >= 20 and len(hold[k]) >= 3 and max(hold[k].values()) != (-(2**63) if i is None else i))]
         exp[(i, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
-    for how in ({}, {"shard_keys": 3, "group_mb": 0.0005}):
+    for how in ({}, {"shard_keys": 3, "group_mb": 0.0005, "part_lines": 10}):
         assert Counter((g.doc_id, g.n_lines, g.n_dropped, g.kept_text) for g in line_dedup.drop_repeated_lines(df, **how).collect()) == exp
+        got = line_dedup.drop_repeated_lines(df.withColumns({"N_lines": F.lit("own"), "row": F.lit(1), "key": F.lit(2), "lines": F.lit(3)}), **how)
+        assert got.columns == ["doc_id", "text", "mark", "row", "key", "lines", "kept_text", "n_lines", "n_dropped"] and got.where("key = 2 and row = 1 and lines = 3 and n_lines > 0").count() == len(rows)
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        line_dedup.drop_repeated_lines(df.withColumn("n_lines", F.lit(1)))
 
 
 def test_perfect_hash():
@@ -299,6 +272,37 @@ def test_top_k(spark):
     assert top_k.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_large(spark):
+    """Components whose products leave 64 bits: exact ranks, and the nearest 64-bit integer as score."""
+    rows = [(0, [3e30, 1.0]), (1, [3e30, 1.0]), (2, [1.0, 1.0]), (3, [-3e30, 0.0]), (4, [2.9e30, -5.0]), (5, [1e9, 1e9]), (6, [3e30, 2.0])]
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") >= 0, k=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in ints:
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[c], strict=True)), c) for c in ints if c != q)
+        assert got[q] == [(c, max(min(-s, 2**63 - 1), -(2**63))) for s, c in best]
+
+
+def test_top_k_prunes():
+    """Few of the pairs get an exact product, and a query is done with what is left of a task."""
+    g = np.random.default_rng(5)
+    low = g.normal(0, 1, (6, 32)) * np.linspace(3, 0.1, 6)[:, None]
+    c = np.floor(256 * (g.normal(0, 1, (6000, 6)) @ low * np.exp(g.normal(0, 1, (6000, 1))) + g.normal(0, 0.01, (6000, 32))))
+    c = c[np.argsort(-np.sqrt((c**2).sum(1)))]
+    q = c[::60]
+    block = top_k.Block(np.arange(0, 6000, 60), q, *top_k.axes(c.T @ c))
+    best = top_k.Best(block, 5)
+    for at in range(0, 6000, 1000):
+        best.offer(np.arange(at, at + 1000), c[at : at + 1000])
+    assert best.made < 0.05 * len(q) * len(c) and len(best.live) < len(q) / 2
+    places, ids, scores = best.found()
+    for j in range(0, len(q), 7):
+        exact = (c.astype(np.int64) @ q[j].astype(np.int64)).tolist()
+        exp = sorted((-s, i) for i, s in enumerate(exact) if i != 60 * j)[:5]
+        assert [(-s, i) for p, i, s in zip(places, ids, scores, strict=True) if p == j] == exp
+
+
 # ---- 10
 
 
