@@ -1,21 +1,19 @@
 """A corpus from documents to sampled segmentations, in stages that are each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs, and returns the columns of documents, but for the last.
-Every stage handles nulls, empty and very long texts, repeated rows, empty tables and extra columns as its operator's docstring
-says. SQL can't express the stages (mixture inference, MinHash, hash-ordered queues, sampling), so ORACLE_SQL is None; each is
-tested against a brute-force version.
+Every stage handles nulls, empty and very long texts, repeated rows and empty tables as its operator's docstring says. Columns of any
+name pass all stages but the last: they travel in one struct. SQL can't express the stages (mixture inference, MinHash, hash-ordered
+queues, sampling), so ORACLE_SQL is None; each is tested against a brute-force version.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsift.llm import language_id, line_dedup, mixing, near_dedup, segment_sampling
-from quillsift.llm.common import shared_dir
+from quillsift.llm.common import drop, materialise, row_of
 
 #: A document without a language of this share at least has no main language.
 MAIN_LANGUAGE = 0.4
@@ -27,16 +25,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.learn(docs.where(~language_id.held_out("doc_id")))
     if not model.langs:
         return docs
-    found = language_id.identify(docs, model)
-    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("mixture")[0]["share"] >= MAIN_LANGUAGE)).select(*docs.columns)
+    found = language_id.identify(docs.select(row_of(docs).alias("row"), "text"), model, columns=("row",))
+    return found.where((F.col("lang_pred") != language_id.UND) & (F.col("mixture")[0]["share"] >= MAIN_LANGUAGE)).select("row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines from texts, and keeps all rows; n_chars follows. A null text stays null."""
-    found = line_dedup.drop_repeated_lines(docs)
-    text = F.when(F.col("text").isNotNull(), F.col("kept_text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return found.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    found = line_dedup.drop_repeated_lines(docs.select(row_of(docs).alias("row"), "doc_id", "text"))
+    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +49,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sample_segmentations(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    return segment_sampling.shown(segment_sampling.sample_segmentations(docs, path, k=2, columns=("doc_id", "source", "text")), path)
+    return segment_sampling.shown(segment_sampling.sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), k=2, columns=("doc_id", "source")))
 
 
 STAGES = [
@@ -66,13 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written to the shared folder and read again."""
+    """All stages over documents; each but the last is written to the shared folder and read again, and deleted once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if i == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
