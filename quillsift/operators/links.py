@@ -48,9 +48,8 @@ def _path(raw: str) -> str:
     return "/" + "/".join(quote(s, safe="!$%&'()*+,/:;=@~[]|^-._") for s in segments)
 
 
-def _query_of(pairs: list[tuple[str, str]], keep_encoding: bool) -> str:
-    joined = "&".join(k if not v else f"{k}={v}" for k, v in pairs)
-    return joined if keep_encoding else quote(joined, safe="!$%&()*+,/:;=?@[]^_`{|}~\\-.")
+def _query_of(pairs: list[tuple[str, str]]) -> str:
+    return quote("&".join(k if not v else f"{k}={v}" for k, v in pairs), safe="!$%&()*+,/:;=?@[]^_`{|}~\\-.")
 
 
 def clean_url(url: str, *, strip_www: bool = True, strip_scheme: bool = False, deny: tuple[str, ...] = (), domains: dict[str, dict[str, list[str]]] | None = None, decode_pairs: bool = False) -> str | None:
@@ -84,7 +83,7 @@ def clean_url(url: str, *, strip_www: bool = True, strip_scheme: bool = False, d
     out = "" if strip_scheme else f"{scheme}://"
     out += (f"{login}@" if login else "") + host + (f":{port}" if port and port != _PORTS[scheme] else "")
     out += _path(path) if path else "/"
-    out += f"?{_query_of(pairs, False)}" if pairs else ""
+    out += f"?{_query_of(pairs)}" if pairs else ""
     out += quote(fragment, safe="!#$%&'()*+,/:;=?@[]^_{|}~\\-.") if fragment else ""
     return out[:-1] if out.endswith("/") and not url.endswith("/") else out
 

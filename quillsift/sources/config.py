@@ -41,11 +41,12 @@ class Settings:
     history_store_raw: bool = False
     em_dash: str = "--"
     url_strip_scheme: bool = False
+    url_decode_pairs: bool = False
 
 
 #: What a profile may set.
 PROFILE_FIELDS = ("normalize_unicode", "whitespace_cleanup", "agent_strip", "structural_detection", "table_cell_picker", "url_cleaning", "auto_wrapper", "user_rules", "sensitive_filter")
-FEATURES = (*PROFILE_FIELDS, "history_store_raw", "url_strip_scheme")
+FEATURES = (*PROFILE_FIELDS, "history_store_raw", "url_strip_scheme", "url_decode_pairs")
 
 
 @dataclass(frozen=True)
@@ -86,6 +87,7 @@ def _rules(raw: dict) -> tuple[Rule, ...]:
     return tuple(Rule(r["name"], r["pattern"], r["replacement"]) for r in raw.get("rules", []))
 
 
+# What the messages of the checks below say.
 def problems(raw: dict) -> list[str]:
     """What is wrong with a configuration, without resolving it."""
     out = []
@@ -136,10 +138,23 @@ def resolve(raw: dict | None = None, profile: str | None = None) -> Config:
     return Config(settings, rules, (*TRACKING, *urls.get("global_deny", [])), urls.get("domains", {}), (*EXCLUDED_APPS, *raw.get("exclusions", {}).get("bundle_ids", [])), None if settings.double_tap_window_ms == "auto" else settings.double_tap_window_ms, profile)
 
 
+def _shown(value: bool | int | float | str) -> str:
+    """The value as TOML."""
+    if isinstance(value, bool):
+        return str(value).lower()
+    if not isinstance(value, str):
+        return repr(value)
+    escapes = {'"': r"\"", "\\": r"\\"} | {chr(c): f"\\u{c:04x}" for c in [*range(0x20), 0x7F]}
+    return '"' + "".join(escapes.get(c, c) for c in value) + '"'
+
+
 def set_setting(path: str | os.PathLike, key: str, value: bool | int | float | str) -> None:
-    """Writes one key of [settings] and leaves the rest as it stands: new file beside it, synced, renamed over it, mode 0600."""
+    """Writes one key of [settings] and leaves the rest as it stands: new file beside it, synced, renamed over it, mode 0600. What
+    would not load again is not written (ConfigError)."""
     place = Path(path)
-    shown = str(value).lower() if isinstance(value, bool) else f'"{value}"'.replace("\\", "\\\\") if isinstance(value, str) else repr(value)
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", key):
+        raise ConfigError(f"not a key: {key!r}")
+    shown = _shown(value)
     lines = place.read_text().splitlines() if place.exists() else []
     head = next((i for i, x in enumerate(lines) if re.fullmatch(r"\s*\[settings\]\s*(#.*)?", x)), None)
     if head is None:
@@ -151,11 +166,38 @@ def set_setting(path: str | os.PathLike, key: str, value: bool | int | float | s
             lines.insert(head + 1, f"{key} = {shown}")
         else:
             lines[at] = f"{key} = {shown}"
+    text = "\n".join(lines) + "\n"
+    try:
+        again = tomllib.loads(text)["settings"][key]
+    except (tomllib.TOMLDecodeError, KeyError) as e:
+        raise ConfigError(f"{place} would not load with {key} = {shown}: {e}") from e
+    if again != value:
+        raise ConfigError(f"{key} = {shown} would load as {again!r}")
     place.parent.mkdir(parents=True, exist_ok=True)
     beside = place.with_name(place.name + ".tmp")
     with open(beside, "w") as f:
-        f.write("\n".join(lines) + "\n")
+        f.write(text)
         f.flush()
         os.fsync(f.fileno())
     os.chmod(beside, 0o600)
     os.replace(beside, place)
+
+
+def _typed(key: str, kind: type) -> None:
+    known = {f.name: f.default for f in dataclasses.fields(Settings)}
+    if key not in known or type(known[key]) is not kind and not (kind is str and key == "double_tap_window_ms"):
+        raise ConfigError(f"no {kind.__name__} setting: {key}")
+
+
+def set_bool(path: str | os.PathLike, key: str, value: bool) -> None:
+    """A switch of [settings] by name."""
+    _typed(key, bool)
+    set_setting(path, key, bool(value))
+
+
+def set_string(path: str | os.PathLike, key: str, value: str) -> None:
+    """A text of [settings] by name."""
+    _typed(key, str)
+    if found := _range_problems(dataclasses.replace(Settings(), **{key: value})):
+        raise ConfigError(found[0])
+    set_setting(path, key, value)
