@@ -12,8 +12,9 @@ from .chars import BARS, EM_DASH, INVISIBLE, KEYWORDS, MOJIBAKE, PLAIN, RECORDIN
 CLASS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Without the newline.
 IN_LINE = r"\t\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-LIST_ITEM = rf"^(- |\* |[•◦▪][{CLASS}]|[0-9]+[.)\]] )"
-#: A token that autowrapping puts in backticks, but for its length.
+# What begins a list item.
+LIST_ITEM = rf"^(- |\* |[•◦▪][{CLASS}]|\p{{Nd}}+[.)\]] )"
+# A token that autowrapping puts in backticks, but for its length. Camel case takes two patterns, as RE2 has no look-ahead.
 CODE_TOKEN = "|".join(
     [
         r"^--[A-Za-z0-9]",
@@ -21,11 +22,11 @@ CODE_TOKEN = "|".join(
         r"^\.{0,2}/",
         r"/.*[.:-]",
         r"[.:-].*/",
-        r"^[A-Za-z0-9._-]+\.[A-Za-z0-9]{1,8}(:[0-9]+)?$",
+        r"^[A-Za-z0-9._-]+\.[A-Za-z0-9]{1,8}(:\p{Nd}+)?$",
         r"^[A-Za-z]*[a-z][A-Za-z]*[A-Z][A-Za-z0-9]*$",
         r"^[A-Za-z]+[A-Z][A-Za-z0-9]*[a-z][A-Za-z0-9]*$",
         r"^[A-Z][A-Z0-9_]{3,}$",
-        r"^[a-zA-Z0-9.-]+:[0-9]{1,5}$",
+        r"^[a-zA-Z0-9.-]+:\p{Nd}{1,5}$",
         r"^\$.",
         r"#.*>$",
         r"^[a-zA-Z][a-zA-Z0-9]+(\.[a-zA-Z][a-zA-Z0-9]+)+$",
@@ -51,11 +52,16 @@ def is_oversize(text: Column, most: int) -> Column:
 def secret_name(text: Column) -> Column:
     """The first pattern of SECRETS that the trimmed text matches, else null."""
     own = trimmed(text)
-    return F.coalesce(*[F.when(own.rlike(p.removesuffix("$") + r"\z" if p.endswith("$") else p), F.lit(name)) for name, p in SECRETS])
+    return F.coalesce(*[F.when(own.rlike(_anchored(p)), F.lit(name)) for name, p in SECRETS])
+
+
+def _anchored(p: str) -> str:
+    return p.removesuffix("$") + r"\z" if p.endswith("$") else p
 
 
 def has_secret(text: Column) -> Column:
-    return secret_name(text).isNotNull()
+    """secret_name() without the name: one pattern instead of one after the other."""
+    return F.coalesce(trimmed(text).rlike("|".join(f"(?:{_anchored(p)})" for _, p in SECRETS)), F.lit(False))
 
 
 def within_expansion(out: Column, text: Column, most: float = 2.0) -> Column:
@@ -177,8 +183,37 @@ def language(text: Column) -> Column:
     return F.when(best["n"] >= 2, best["name"])
 
 
+#: Of the characters here every code token has one, or a capital after its first letter, or capitals only.
+_CODE_SIGN = r"[-_./:#$]|.[A-Z]"
+
+
 def is_code_token(token: Column) -> Column:
-    return (F.octet_length(token).between(2, 100)) & ~F.contains(token, F.lit("`")) & ~token.rlike("^https?://") & token.rlike(CODE_TOKEN)
+    """Cheap conditions stand first: most words have neither a sign nor a capital inside."""
+    return (F.octet_length(token).between(2, 100)) & token.rlike(_CODE_SIGN) & ~F.contains(token, F.lit("`")) & ~token.rlike("^https?://") & token.rlike(CODE_TOKEN)
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, rf"[{CLASS}]+", -1), lambda w: w != "")
+
+
+def code_token_count(text: Column) -> Column:
+    return F.size(F.filter(words(text), is_code_token))
+
+
+def width_cluster(text: Column, short: int = 40, spread: int = 4) -> Column:
+    """struct<cluster, long_lines, width>: the size of the largest cluster of lengths of long lines (those within `spread` above one), how many
+    lines are long, and the upper end of that cluster, 0 under three lines. Of equal clusters a later one counts if it begins beyond
+    the end of the one before. Null without long lines."""
+    sizes = F.array_sort(F.filter(F.transform(lines(text), lambda x: F.length(trimmed_right(x))), lambda n: n > short))
+
+    def cluster(n: Column) -> Column:
+        near = F.filter(sizes, lambda m: m.between(n, n + spread))
+        return F.struct(n.alias("first"), F.array_max(near).alias("last"), F.size(near).alias("n"))
+
+    found = F.transform(F.array_distinct(sizes), cluster)
+    most = F.array_max(F.transform(found, lambda c: c["n"]))
+    width = F.aggregate(F.filter(found, lambda c: c["n"] == most), F.lit(0), lambda w, c: F.when(c["first"] > w, c["last"]).otherwise(w))
+    return F.when(F.size(sizes) > 0, F.struct(most.alias("cluster"), F.size(sizes).alias("long_lines"), F.when(most >= 3, width).otherwise(0).alias("width")))
 
 
 def wrapped_commands(text: Column) -> Column:

@@ -1,23 +1,26 @@
 """The cleaner: guards, classification and the stages in their order, over a text or a DataFrame column.
 
-Over a DataFrame the guards are native columns; rows that they skip reach Python as null and come back as they were. The stages run
-fused in one Arrow pass, so a row crosses to Python and back once.
+Over a DataFrame the guards are native columns; rows that they skip come back as they were. The stages run fused in one Arrow pass, so a
+row crosses to Python and back once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import native
 from ..functions.chars import n_bytes
+from ..functions.columns import free_names, named
 from ..sources.config import Config
-from .base import CONTEXT_DDL, Context, Stage
+from .base import CONTEXT_DDL, Context, Stage, summary
 from .characters import artifact_stage, secret_in, unicode_stage
 from .classify import classify
 from .codespans import codespan_stage
@@ -46,7 +49,7 @@ def stages_of(config: Config, names: list[str] | None = None) -> list[tuple[str,
         ("whitespace_cleanup", s.whitespace_cleanup, layout_stage),
         ("agent_strip", s.agent_strip, artifact_stage),
         ("structural_detection", s.structural_detection, structure_stage),
-        ("url_cleaning", s.url_cleaning, link_stage(strip_scheme=s.url_strip_scheme, deny=config.global_deny, domains=config.domains)),
+        ("url_cleaning", s.url_cleaning, link_stage(strip_scheme=s.url_strip_scheme, decode_pairs=s.url_decode_pairs, deny=config.global_deny, domains=config.domains)),
         ("auto_wrapper", s.auto_wrapper, codespan_stage),
         ("user_rules", s.user_rules and bool(config.rules), rule_stage(list(config.rules))),
         *((name, True, stage) for name, stage in REGISTERED.items()),
@@ -78,24 +81,19 @@ def clean_text(text: str, config: Config | None = None, names: list[str] | None
     return run_stages(text, stages_of(config, names), ctx), ctx
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many parts as there are cores, if it has fewer: few large files would leave most of them idle. Larger inputs have
-    more parts than cores, and aren't shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def clean(df: DataFrame, text_col: str = "text", config: Config | None = None, names: list[str] | None = None, out_col: str = "cleaned", ctx_col: str = "ctx") -> DataFrame:
-    """df with the cleaned text and the context of each row; null stays null."""
+    """df with the cleaned text and the context of each row, which replace columns of these names; null stays null. Runs no job: a
+    caller with fewer files than cores may repartition df first."""
     config = config or Config()
-    text = F.col(text_col)
-    big = native.is_oversize(text, config.settings.max_input_bytes)
-    secret = ~big & native.has_secret(text) if config.settings.sensitive_filter else F.lit(False)
-    flagged = df.withColumns({"_big": big, "_secret": secret}).withColumn("_active", F.when(~F.col("_big") & ~F.col("_secret"), text))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    schema = ", ".join([*kept, "_big boolean", "_secret boolean", "_out string", "_type string", "_fired array<struct<stage:string,description:string,chars_changed:bigint>>"])
-    n, registered = len(df.columns), dict(REGISTERED)
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    keep = [c for c in df.columns if c.lower() not in (out_col.lower(), ctx_col.lower())]
+    big, secret, active, size = free_names(df, "big", "secret", "active", "size")
+    text = named(text_col)
+    flagged = df.withColumn(big, native.is_oversize(text, config.settings.max_input_bytes))
+    flagged = flagged.withColumn(secret, ~F.col(big) & native.has_secret(text) if config.settings.sensitive_filter else F.lit(False))
+    flagged = flagged.select(*map(named, keep), text.alias(active), F.octet_length(text).cast("bigint").alias(size), big, secret)
+    schema = StructType([*(df.schema[c] for c in keep), StructField(out_col, StringType()), StructField(ctx_col, StructType.fromDDL(f"c {CONTEXT_DDL}")["c"].dataType)])
+    n, registered, profile = len(keep), dict(REGISTERED), config.profile
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         REGISTERED.update(registered)
@@ -103,14 +101,30 @@ def clean(df: DataFrame, text_col: str = "text", config: Config | None = None, n
         for batch in batches:
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
-                texts, types, fired = [], [], []
-                for t in part.column(n + 2).to_pylist():
-                    ctx = Context()
-                    texts.append(None if t is None else run_stages(t, stages, ctx))
-                    types.append(ctx.content_type)
-                    fired.append([{"stage": s, "description": d, "chars_changed": c} for s, d, c in ctx.rules_fired])
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n + 2)), *(pa.array(c, arrow.field(n + 2 + i).type) for i, c in enumerate((texts, types, fired)))], schema=arrow)
-
-    done = spread(flagged).mapInArrow(run, schema)
-    ctx = F.struct(F.col("_type").alias("content_type"), F.col("_fired").alias("rules_fired"), F.lit(config.profile).cast("string").alias("profile"), F.octet_length(text).cast("bigint").alias("input_size_bytes"), F.coalesce("_secret", F.lit(False)).alias("skipped_sensitive"), F.coalesce("_big", F.lit(False)).alias("skipped_oversize"))
-    return done.select(*df.columns, F.coalesce("_out", text).alias(out_col), F.when(text.isNotNull(), ctx).cast(CONTEXT_DDL).alias(ctx_col))
+                texts, contexts = [], []
+                for t, size, big, secret in zip(*(part.column(n + i).to_pylist() for i in range(4)), strict=True):
+                    if t is None:
+                        texts.append(None)
+                        contexts.append(None)
+                        continue
+                    ctx = Context(profile=profile, input_size_bytes=size, skipped_oversize=bool(big), skipped_sensitive=bool(secret))
+                    texts.append(t if big or secret else run_stages(t, stages, ctx))
+                    contexts.append(vars(ctx) | {"rules_fired": [{"stage": s, "description": d, "chars_changed": c} for s, d, c in ctx.rules_fired]})
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(c, arrow.field(n + i).type) for i, c in enumerate((texts, contexts)))], schema=arrow)
+
+    return flagged.mapInArrow(run, schema)
+
+
+def clean_cell(table: Column, row: int, column: int) -> Column:
+    """A cell of a table by its place, cleaned, and what to say about it: struct<cleaned, label>."""
+
+    @pandas_udf("struct<cleaned:string,label:string>")
+    def run(cells: pd.Series) -> pd.DataFrame:
+        out, place = [], f"Copied cell r{row + 1}c{column + 1}"
+        for c in cells:
+            cleaned, ctx = clean_text(c or "")
+            said = summary([stage for stage, _, _ in ctx.rules_fired])
+            out.append((cleaned, place if not ctx.rules_fired else f"{place} · {said}"))
+        return pd.DataFrame(out, columns=["cleaned", "label"])
+
+    return run(native.cell(table, row, column))

@@ -44,6 +44,21 @@ def html_column(html: Column) -> Column:
     return run(html)
 
 
+def candidate_column(html: Column, plain: Column) -> Column:
+    """The better of the rich and the plain form of one text; null if there is neither."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def run(rich, own):
+        import pandas as pd
+
+        from ..operators.richtext import better_text, rich_text
+
+        return pd.Series([better_text(rich_text(h), p) for h, p in zip(rich, own, strict=True)], dtype=object)
+
+    return run(html, plain)
+
+
 def table_column(text: Column) -> Column:
     """The table of a text (TABLE_DDL)."""
     from pyspark.sql.functions import pandas_udf
