@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import native
-from ..functions.chars import EXCLUDED_APPS, INVISIBLE, KEYWORDS, MOJIBAKE, PLAIN, RECORDING_DOT, SECRETS, SHELL_WORDS, TRACKING, WHITE
-from ..operators import cleaner, diff
+from ..functions.chars import EXCLUDED_APPS, INVISIBLE, KEYWORDS, MOJIBAKE, PLAIN, RECORDING_DOT, SECRETS, SHELL_WORDS, TRACKING, WHITE, words_of
+from ..operators import cleaner, diff, layout
+from ..operators import codespans as codespans_
 from ..operators.base import LABELS
 from ..operators.rules import Rule, compiled, java_replacement
 from ..sources import history, text
@@ -38,8 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parted(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is a scan of fewer files than half of them, which would leave most cores idle; others stay as they
+    are. Looks at file names only, so it runs no job."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str, dirty: str | None = None) -> DataFrame:
-    own = table(spark, sf_dir, "documents")
+    own = parted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return own.withColumn("text", F.expr(dirty)) if dirty else own
 
 
@@ -88,6 +96,9 @@ def sql_secret(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({own}, {q(p.removesuffix('$') + chr(92) + 'z' if p.endswith('$') else p)}) THEN '{name}'" for name, p in SECRETS) + " END"
 
 
+#: All stages, without the guard against secrets: queries that state what becomes of a text need it cleaned.
+OPEN = Config(Settings(sensitive_filter=False, auto_wrapper=True))
+
 # ---- guards and characters
 
 CLEANED = sql_invisible(sql_dots(sql_ansi(sql_plain("t"))))
@@ -134,18 +145,14 @@ def char_normalize(spark, sf_dir):
     return docs(spark, sf_dir, DIRTY_CHARS).select("doc_id", native.plain_characters(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, nfc_normalize(concat(replace(text, 'e', concat('e', chr(769))), 'A', chr(778))) AS text FROM documents")
-def nfc(spark, sf_dir):
-    import unicodedata
-
-    from pyspark.sql.functions import pandas_udf
+_DECOMPOSED = "concat(replace(text, 'e', concat('e', chr(769))), 'A', chr(778), '“')"
 
-    @pandas_udf("string")
-    def compose(s):
-        return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
-    dirty = F.concat(F.replace("text", F.lit("e"), F.lit("é")), F.lit("Å"))
-    return docs(spark, sf_dir).select("doc_id", compose(dirty).alias("text"))
+@query(f"SELECT doc_id, nfc_normalize({sql_plain('t')}) AS cleaned FROM (SELECT doc_id, {_DECOMPOSED} AS t FROM documents)")
+def nfc(spark, sf_dir):
+    """Characters and composition by the Unicode stage."""
+    own = docs(spark, sf_dir, _DECOMPOSED.replace("chr(769)", "'\u0301'").replace("chr(778)", "'\u030a'")).select("doc_id", "text")
+    return cleaner.clean(own, config=OPEN, names=["normalize_unicode"]).select("doc_id", "cleaned")
 
 
 def _sql_mojibake() -> str:
@@ -180,7 +187,7 @@ def zero_width_strip(spark, sf_dir):
 # ---- lines, classifier, code
 
 _FILLED = "list_filter(string_split(t, chr(10)), lambda x: x <> '')"
-_ITEM = rf"regexp_matches({sql_trim('x')}, '^(- |\* |[•◦▪][{_WS}]|[0-9]+[.)\]] )')"
+_ITEM = rf"regexp_matches({sql_trim('x')}, '^(- |\* |[•◦▪][{_WS}]|\p{{Nd}}+[.)\]] )')"
 _SENTENCE = rf"regexp_matches({sql_trim('x')}, '[.?!]\z')"
 _INDENTED = r"regexp_matches(x, '^[ \t]')"
 
@@ -205,14 +212,28 @@ def classify_lines(spark, sf_dir):
     return docs(spark, sf_dir, DIRTY_LINES).select("doc_id", native.looks_like_code(t).alias("code_like"), native.looks_like_list(t).alias("list_like"))
 
 
-@query("""WITH l AS (SELECT doc_id, length(rtrim(line, ' ')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
-c AS (SELECT doc_id, n, count(*) OVER (PARTITION BY doc_id ORDER BY n RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c FROM l WHERE n > 40)
-SELECT doc_id, max(c)::BIGINT AS cluster, count(*) AS long_lines FROM c GROUP BY doc_id""")
+_WIDTHS = f"""WITH l AS (SELECT doc_id, length(rtrim(line, {_TRIM})) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+c AS (SELECT doc_id, n, count(*) OVER (PARTITION BY doc_id ORDER BY n RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS c, max(n) OVER (PARTITION BY doc_id ORDER BY n RANGE BETWEEN CURRENT ROW AND 4 FOLLOWING) AS w FROM l WHERE n > 40),
+m AS (SELECT doc_id, max(c) AS cluster, count(*) AS long_lines FROM c GROUP BY doc_id),
+t AS (SELECT doc_id, list_reduce(list({{'n': n, 'w': w}} ORDER BY n), lambda a, x: CASE WHEN x.n > a.w THEN x ELSE a END).w AS width FROM (SELECT DISTINCT doc_id, n, w, c FROM c) JOIN m USING (doc_id) WHERE c = cluster GROUP BY doc_id),
+b AS (SELECT * FROM m JOIN t USING (doc_id))"""
+
+
+@query(_WIDTHS + " SELECT doc_id, cluster::INT AS cluster, long_lines::INT AS long_lines, CASE WHEN cluster >= 3 THEN width ELSE 0 END::INT AS width FROM b")
 def width_clusters(spark, sf_dir):
-    """The largest cluster of line lengths of each document, of which the unwrapper takes the terminal's width."""
-    n = docs(spark, sf_dir).select("doc_id", F.explode(native.lines(F.col("text"))).alias("line")).select("doc_id", F.length(F.rtrim("line")).cast("bigint").alias("n")).where("n > 40")
-    w = Window.partitionBy("doc_id").orderBy("n").rangeBetween(Window.currentRow, 4)
-    return n.withColumn("c", F.count("*").over(w)).groupBy("doc_id").agg(F.max("c").alias("cluster"), F.count("*").alias("long_lines"))
+    """The largest cluster of line lengths of each document, of which the unwrapper takes the terminal's width: a fold within the row."""
+    return docs(spark, sf_dir).select("doc_id", native.width_cluster(F.col("text")).alias("w")).where("w is not null").select("doc_id", "w.*")
+
+
+@query(_WIDTHS + " SELECT doc_id, CASE WHEN cluster >= 3 THEN width ELSE 0 END::INT AS width FROM documents LEFT JOIN b USING (doc_id)")
+def terminal_width(spark, sf_dir):
+    """The same by the layout stage's own function."""
+
+    @F.pandas_udf("int")
+    def width(s):
+        return s.map(lambda t: layout.terminal_width(t.split("\n")) if t is not None else 0)
+
+    return docs(spark, sf_dir).select("doc_id", width("text").alias("width"))
 
 
 def _sql_score(x: str) -> str:
@@ -231,12 +252,28 @@ def code_language(spark, sf_dir):
     return docs(spark, sf_dir, DIRTY_CODE).select("doc_id", native.language(F.col("text")).alias("language"))
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda x: x <> '')) AS w FROM (SELECT doc_id, {DIRTY_TOKENS} AS t FROM documents))
-SELECT doc_id, count(*) AS n_tokens, count(*) FILTER (strlen(w) BETWEEN 2 AND 100 AND NOT contains(w, '`') AND NOT regexp_matches(w, '^https?://') AND regexp_matches(w, {q(native.CODE_TOKEN)})) AS n_code FROM w GROUP BY doc_id""")
+_TOKENS = f"SELECT doc_id, list_filter(regexp_split_to_array(t, '[{_WS}]+'), lambda x: x <> '') AS w FROM (SELECT doc_id, {DIRTY_TOKENS} AS t FROM documents)"
+
+
+@query(f"""SELECT doc_id, len(w)::INT AS n_tokens, len(list_filter(w, lambda x: strlen(x) BETWEEN 2 AND 100 AND NOT contains(x, '`') AND NOT regexp_matches(x, '^https?://') AND regexp_matches(x, {q(native.CODE_TOKEN)})))::INT AS n_code FROM ({_TOKENS})""")
 def code_token_flags(spark, sf_dir):
-    words = F.filter(F.split("text", rf"[{native.CLASS}]+", -1), lambda w: w != "")
-    w = docs(spark, sf_dir, DIRTY_TOKENS).select("doc_id", F.explode(words).alias("w"))
-    return w.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_if(native.is_code_token(F.col("w"))).alias("n_code"))
+    """Words and code-like words of each document, counted within the row."""
+    own = docs(spark, sf_dir, DIRTY_TOKENS)
+    return own.select("doc_id", F.size(native.words(F.col("text"))).alias("n_tokens"), native.code_token_count(F.col("text")).alias("n_code"))
+
+
+OLDER_TOKEN = r"^--|_|^\.{0,2}/|/.*[.:-]|[.:-].*/|^[A-Za-z0-9._-]+\.[A-Za-z0-9]{1,8}(:\p{Nd}+)?$|^[A-Za-z]+[A-Z][A-Za-z0-9]*$|^[A-Z][A-Z0-9_]{2,}$"
+
+
+@query(f"""SELECT doc_id, len(list_filter(w, lambda x: length(x) BETWEEN 2 AND 100 AND NOT contains(x, '`') AND NOT regexp_matches(x, '^https?://') AND regexp_matches(x, {q(OLDER_TOKEN)})))::INT AS n_code FROM ({_TOKENS})""")
+def older_code_tokens(spark, sf_dir):
+    """Code-like words by the older rules."""
+
+    @F.pandas_udf("int")
+    def count(s):
+        return s.map(lambda t: sum(map(codespans_.is_older_code_token, words_of(t))) if t is not None else 0)
+
+    return docs(spark, sf_dir, DIRTY_TOKENS).select("doc_id", count("text").alias("n_code"))
 
 
 _COMMAND = f"""WITH o AS (SELECT doc_id, {sql_trim("t")} AS o FROM (SELECT doc_id, {DIRTY_COMMANDS} AS t FROM documents)),
@@ -302,14 +339,28 @@ def url_params_dropped(spark, sf_dir):
 # ---- Python stages, fused
 
 
+@query(f"SELECT doc_id, {sql_invisible(sql_dots(sql_ansi('t')))} AS cleaned, {sql_invisible(sql_dots(sql_ansi('t')))} <> t AS fired FROM (SELECT doc_id, {DIRTY_ANSI} AS t FROM documents)")
+def artifact_stage(spark, sf_dir):
+    """The artifact stage, and whether it fired."""
+    out = cleaner.clean(docs(spark, sf_dir, DIRTY_ANSI).select("doc_id", "text"), config=OPEN, names=["agent_strip"])
+    return out.select("doc_id", "cleaned", (F.size("ctx.rules_fired") > 0).alias("fired"))
+
+
+@query(_sql_mojibake().replace("AS text FROM (", "AS cleaned FROM ("))
+def mojibake_stage(spark, sf_dir):
+    """Misread paragraphs by the Unicode stage; the texts have nothing else that it would change."""
+    own = docs(spark, sf_dir, DIRTY_MOJIBAKE).select("doc_id", "text")
+    return cleaner.clean(own, config=Config(Settings(sensitive_filter=False, em_dash="")), names=["normalize_unicode"]).select("doc_id", "cleaned")
+
+
 @query()
-def full_clean(spark, sf_dir):
+def clean_documents(spark, sf_dir):
     """All stages and guards over dirtied documents, with the context of each row."""
     return cleaner.clean(docs(spark, sf_dir, DIRTY_CHARS).select("doc_id", "text"), config=Config(Settings(auto_wrapper=True)))
 
 
 @query()
-def layout_clean(spark, sf_dir):
+def layout_documents(spark, sf_dir):
     return cleaner.clean(docs(spark, sf_dir).select("doc_id", "text"), names=["whitespace_cleanup"]).select("doc_id", "cleaned")
 
 
@@ -355,15 +406,28 @@ def picker_filter(spark, sf_dir):
 
 
 @query()
-def rich_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_column(F.col("html")).alias("text"))
+def rich_pages(spark, sf_dir):
+    return parted(table(spark, sf_dir, "pages")).select("page_id", text.html_column(F.col("html")).alias("text"))
 
 
-@query()
+_NUMBERED = "SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i, len(l) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+@query(f"""WITH l AS ({_NUMBERED}), r AS (SELECT doc_id, i, concat(i, ' ', line) AS line, n FROM l WHERE n >= 2)
+SELECT doc_id, (i + 1 + (i + 1) // 3)::INT AS line_no, CASE WHEN i % 3 = 1 THEN '-' ELSE ' ' END AS sign, line FROM r
+UNION ALL SELECT doc_id, (i + 2 + (i + 1) // 3)::INT, '+', concat(line, ' +') FROM r WHERE i % 3 = 1""")
 def preview_diff(spark, sf_dir):
-    """The lines that unwrapping takes away and brings, as rows of a table function."""
+    """The diff of whole texts, of which every third line changes."""
+    before = "array_join(transform(split(text, chr(10), -1), (x, i) -> concat(i, ' ', x)), chr(10))"
+    after = "array_join(transform(split(text, chr(10), -1), (x, i) -> concat(i, ' ', x, CASE WHEN i % 3 = 1 THEN ' +' ELSE '' END)), chr(10))"
+    return diff.diff_rows(docs(spark, sf_dir).select("doc_id", F.expr(before).alias("before"), F.expr(after).alias("after")), "before", "after", ("doc_id",))
+
+
+@query()
+def unwrapping_diff(spark, sf_dir):
+    """The lines that unwrapping takes away and brings."""
     own = cleaner.clean(docs(spark, sf_dir).select("doc_id", "text"), names=["whitespace_cleanup"])
-    return own.lateralJoin(diff.LineDiff(F.col("text").outer(), F.col("cleaned").outer())).select("doc_id", "line_no", "sign", "line")
+    return diff.diff_rows(own, "text", "cleaned", ("doc_id",))
 
 
 @query("""SELECT doc_id, CASE WHEN a AND b AND c THEN 'Normalized text formatting · Removed hidden characters +1 more' WHEN a AND b THEN 'Normalized text formatting · Removed hidden characters' WHEN a AND c THEN 'Normalized text formatting · Applied custom rules'
@@ -476,7 +540,7 @@ def toast_decay(spark, sf_dir):
 
 
 @query()
-def table_formats(spark, sf_dir):
+def document_tables(spark, sf_dir):
     """Formats and confidences of the tables found in documents as they are."""
     found = docs(spark, sf_dir).select(text.table_column(F.col("text")).alias("t"))
     return found.groupBy("t.format").agg(F.count("*").alias("n"), F.min("t.confidence").alias("least"), F.max("t.confidence").alias("most"))

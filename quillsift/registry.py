@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .plans import keyed, made  # noqa: F401  they add theirs
 from .plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "clean_summary"

@@ -1,5 +1,4 @@
 import io
-import json
 import sys
 
 import pytest
@@ -105,16 +104,54 @@ def test_codespans():
 def test_rules():
     out, ctx = run(rules.rule_stage([rules.Rule("swap", r"(\w+) (?<n>\w+)", "${n} $1$$"), rules.Rule("none", "zzz", "")]), "a b")
     assert out == "b a$" and [r[1] for r in ctx.rules_fired] == ["rule 'swap' fired"]
-    for bad in ("(?=a)", r"(a)\1", "a++", "("):
-        with pytest.raises(rules.RuleError):
+    for bad in ("(?=a)", "(?<!a)b", r"(a)\1", "a++", "a{2}+", "(", "(a+)+b", r"(?:\w+\s*)*x", "(x{1,})+", "(?>a)", "(?R)", r"\Ga", "a(?m)b$"):
+        with pytest.raises(rules.RuleError, match="'r'"):
             rules.compiled(rules.Rule("r", bad, ""))
 
 
+@pytest.mark.parametrize(
+    ("pattern", "replacement", "text", "out"),
+    [
+        ("x$", "Y", "x\n", "x\n"), ("x$", "Y", "ax", "aY"), (r"x\z", "Y", "x", "Y"), ("x*", "-", "abxd", "-a-b-d-"), ("", "-", "ab", "-a-b-"), (r"\p{L}+", "w", "é1", "w1"), ("[[:alpha:]]+", "w", "ab1", "w1"),
+        (r"(?m)^a$", "X", "a\na\nb", "X\nX\nb"), ("[]a]+", "X", "]a", "X"), (r"\x{41}", "X", "A", "X"), (r"\++", "X", "a++", "aX"), ("(ab)+", "X", "abab", "X"), ("a+?", "X", "aa", "XX"), (r"\$5", "X", "$5", "X"), ("[$]", "X", "$", "X"),
+        ("(a)(b)?", "[$2$1]", "a ab", "[a] [ba]"),
+    ],
+)
+def test_rule_dialect(pattern, replacement, text, out):
+    assert rules.replaced(rules.compiled(rules.Rule("r", pattern, replacement)), replacement, text)[0] == out
+
+
+def test_rule_time(monkeypatch):
+    """A rule that runs too long on a text leaves it, and the context says so."""
+    monkeypatch.setattr(rules, "MOST_SECONDS", 0.05)
+    slow = rules.Rule("slow", "(?:a|a|ab)(?:a|b|ab){0,40}(?:a|ab|b){0,40}[cd]", "x")
+    monkeypatch.setattr(rules, "replaced", lambda p, r, t, s=0.05, f=rules.replaced: f(p, r, t, s))
+    out, ctx = run(rules.rule_stage([slow, rules.Rule("b", "b", "B")]), "ab" * 40)
+    assert out == "aB" * 40 and [r[1] for r in ctx.rules_fired] == ["rule 'slow' timed out after 0.05s", "rule 'b' fired"]
+
+
 def test_summary_and_diff_and_rich_text():
     assert summary([]) == "No changes needed" and summary(["agent_strip", "agent_strip", "url_cleaning", "user_rules"]).endswith("+1 more")
     assert list(diff.line_diff("a\nb", "a\nc")) == [(" ", "a"), ("-", "b"), ("+", "c")] and not list(diff.line_diff("a", "a"))
+    assert list(diff.line_diff("a\nb\nc\nd", "a\nc\nx\nd")) == [(" ", "a"), ("-", "b"), (" ", "c"), ("+", "x"), (" ", "d")]
     assert richtext.rich_text("<p>Use <code>ls</code> now</p><ul><li>a</li></ul>") == "Use `ls` now\n- a"
-    assert richtext.better_text("x", "a long plain text") == "a long plain text" and richtext.is_coloured("color:#ff0000") and not richtext.is_coloured("color:#777")
+    assert richtext.better_text("x", "a long plain text") == "a long plain text" and richtext.better_text("- a", "a") == "- a" and richtext.better_text("a", "- a") == "- a"
+    assert richtext.better_text(None, "") is None and richtext.better_text("use run_it", None) == "use `run_it`" and richtext.better_text("x", "") == "x"
+    coloured = {"color:#ff0000": True, "color:#777": False, "color: rgba(255, 0, 0, .5)": False, "color: rgb(10% 90% 0%)": True, "color:#f00f": True, "color:#ff000080": False, "color:navy": True, "color: gray": False, "background-color: red": False, "color:none": False, "color:rgb(1)": False}
+    assert {x: richtext.is_coloured(x) for x in coloured} == coloured
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=12), st.lists(st.sampled_from("abc"), max_size=12), st.booleans())
+def test_diff_gives_both_texts(a, b, bounded):
+    """Rows without `+` are the text before, rows without `-` the text after, whatever the bound."""
+    x, y = "\n".join(a), "\n".join(b)
+    most, diff.MOST_PAIRS = diff.MOST_PAIRS, 0 if bounded else diff.MOST_PAIRS
+    try:
+        rows = list(diff.line_diff(x, y))
+    finally:
+        diff.MOST_PAIRS = most
+    assert x == y and not rows or ("\n".join(t for s, t in rows if s != "+"), "\n".join(t for s, t in rows if s != "-")) == (x, y)
 
 
 def test_expansion_takes_everything_back():
@@ -135,10 +172,15 @@ def test_cleaning_is_bounded_and_character_stages_settle(text):
     assert run(characters.unicode_stage(), once)[0] == once
 
 
+def test_older_tokens():
+    older = [t for t in ("--f", "a_b", "/x", "a/b.c", "ABC", "AB", "aB", "ab", "f(x)", "a.bc", "x.py:٣", "a.b.c d") if codespans.is_older_code_token(t)]
+    assert older == ["--f", "a_b", "/x", "a/b.c", "ABC", "AB", "aB", "a.bc", "x.py:٣"] and codespans.wrap_token("(f(x)", codespans.is_older_code_token) == "(f(x)"
+
+
 def test_native_twins(spark):
     from pyspark.sql import functions as F
 
-    lines = ["rm -f x", "open the door", "sudo ls ~", "- a", "1) b", "a_b", "--x", "", "   c    d  ", "ABCD", "aB", "x.py:1", "  ⏺ z", "\x1b[1mq"]
+    lines = ["٣. x", "x.py:٣", "h:٣", "rm -f x", "open the door", "sudo ls ~", "- a", "1) b", "a_b", "--x", "", "   c    d  ", "ABCD", "aB", "x.py:1", "  ⏺ z", "\x1b[1mq"]
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     t = F.col("t")
     got = df.select("t", native.is_shell_command(t), native.is_list_item(t), native.is_code_token(t), native.collapsed_padding(t), native.without_artifacts(t)).collect()
@@ -153,6 +195,20 @@ def test_clean_over_a_column(spark):
     assert got[1].cleaned == '"a" b' and got[2].cleaned is None and got[2].ctx is None and got[3].ctx.skipped_oversize and got[3].cleaned == "x" * 50 and got[4].cleaned == ""
 
 
+def test_clean_keeps_columns_of_any_name(spark):
+    """No name of the caller's clashes, and building the result runs no job."""
+    df = spark.createDataFrame([(1, "“a”", 5, True, "o", "c", 2)], "_big int, text string, big int, secret boolean, Cleaned string, active string, size int")
+    grouped = df.groupBy(*df.columns).count()
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("clean", "clean")
+    out = cleaner.clean(grouped, config=Config(Settings(max_input_bytes=20)))
+    assert not tracker.getJobIdsForGroup("clean")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    row = out.first()
+    assert out.columns == ["_big", "text", "big", "secret", "active", "size", "count", "cleaned", "ctx"]
+    assert (row["_big"], row["big"], row["secret"], row["active"], row["size"], row["cleaned"], row["ctx"]["skipped_oversize"]) == (1, 5, True, "c", 2, '"a"', False)
+
+
 def test_cli(monkeypatch, capsys, tmp_path):
     monkeypatch.setattr(sys, "stdin", io.TextIOWrapper(io.BytesIO("“a”\n".encode())))
     assert cli.main(["--config", str(tmp_path / "none"), "--normalize"]) == 0
@@ -161,4 +217,3 @@ def test_cli(monkeypatch, capsys, tmp_path):
     bad.write_text("[settings]\nmax_input_bytes = 0\n")
     bad.chmod(0o600)
     assert cli.main(["--config", str(bad), "validate"]) == 1 and "max_input_bytes" in capsys.readouterr().out
-    assert json.loads("1") == 1
