@@ -213,7 +213,7 @@ class _Slice:
 
     def _halves(self, places: np.ndarray, docs: np.ndarray, pop: int) -> np.ndarray:
         """64 bits for (row key, place, pop): the upper half draws the arc at the place, the lower one the node beside it."""
-        return mix64(self.key[docs] + (places - self.doc[docs]).astype(np.uint64) * _M + np.uint64(pop) * np.uint64(0xD6E8FEB86659FD93))
+        return mix64(self.key[docs] + (places - self.doc[docs]).astype(np.uint64) * _M + np.uint64(pop * 0xD6E8FEB86659FD93 % 2**64))
 
     def _follow(self, length: np.ndarray, bits: np.ndarray, places: np.ndarray, pop: int) -> None:
         """Draws arcs from each place to its chunk's end; keeps the bits of the places it comes by."""

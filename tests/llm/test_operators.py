@@ -1,5 +1,5 @@
-import hashlib
 import itertools
+import math
 import random
 from collections import Counter
 
@@ -38,6 +38,45 @@ def test_language_id(spark, docs):
     assert got[0].asDict().keys() == {"id", "t", "text", "lang_pred", "score", "mixture"} and len(got) == 8 and all(isinstance(r.score, float) and r.text == 2 for r in got)
 
 
+def plain_mixture(model, text):
+    """infer() by plain loops: EM over all languages, then sets of growing size as long as the penalised likelihood gains."""
+    grams = Counter(language_id.grams(text).tolist())
+    c = {g: n * language_id.DRAWS for g, n in grams.items()}
+    k, total = len(model.langs), sum(c.values())
+
+    def em(langs, share):
+        for _ in range(model.rounds):
+            new, mixed = dict.fromkeys(langs, 0.0), {}
+            for g, n in c.items():
+                mixed[g] = sum(float(model.p[g, i]) * share[i] for i in langs)
+                for i in langs:
+                    new[i] += n * float(model.p[g, i]) * share[i] / mixed[g]
+            share = {i: v / total for i, v in new.items()}
+        return share, sum(n * math.log(mixed[g]) for g, n in c.items())
+
+    single = [sum(n * math.log(float(model.p[g, i])) for g, n in c.items()) for i in range(k)]
+    chosen, best = {max(range(k), key=lambda i: (single[i], -i)): 1.0}, max(single)
+    every, _ = em(range(k), dict.fromkeys(range(k), 1 / k))
+    order = sorted(range(k), key=lambda i: (-every[i], i))
+    for size in range(2, k + 1):
+        langs = sorted(order[:size])
+        share, now = em(langs, {i: every[i] / sum(every[j] for j in langs) for i in langs})
+        if now - best <= model.penalty * math.log(total + 1):
+            break
+        chosen, best = share, now
+    return {model.langs[i]: v / sum(chosen.values()) for i, v in chosen.items()}
+
+
+def test_language_id_against_plain(spark, docs):
+    model = language_id.learn(docs)
+    own = [(r.text, r.lang) for r in docs.where("length(text) > 300").orderBy("doc_id").limit(24).collect()]
+    texts = [t[:300] for t, _ in own] + [a[:400] + " " + b[:200] for (a, x), (b, y) in itertools.pairwise(own) if x != y] + ["a", "Ünïcode only"]
+    for text in texts:
+        exp, got = plain_mixture(model, text), dict(model.infer(text)[2])
+        assert got == pytest.approx(exp, abs=2e-3), text
+    assert sum(len(model.infer(t)[2]) > 1 for t in texts) > 3
+
+
 def test_language_id_small_share(spark, docs):
     """A few hundred words of another language in a very long text are in the mixture."""
     model = language_id.learn(docs)
@@ -251,6 +290,8 @@ def test_packing(spark, docs):
         packed = packing.best_fit_decreasing(sizes, 40)
         assert sorted(itertools.chain(*packed)) == list(range(len(sizes))) and sorted(40 - sizes[p].sum() for p in packed) == sorted(room)
     assert packing.pack(df.limit(0), encoder).count() == 0
+    twice = packing.pack(df.limit(5).unionByName(df.limit(5)).withColumns({"ids": F.lit(1), "row": F.lit(2)}), encoder, row_len=128).collect()
+    assert sum(r.n_tokens for r in twice) == 2 * sum(r.n_tokens for r in packing.pack(df.limit(5), encoder, row_len=128).collect())
 
 
 # ---- 9
@@ -356,6 +397,41 @@ def test_segment_distribution():
         assert c / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.02)
 
 
+def test_segment_three_and_inclusion():
+    """k = 3 comes without replacement, in the right proportions, and inclusion scores weigh samples so that sums over all paths come out."""
+    lat = segment_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0)
+    weight = {lat.pieces[i]: w for i, w in zip(lat.ids, lat.log, strict=True)}
+
+    def paths(s):
+        return {(): 0.0} if not s else {(s[:n], *rest): weight[s[:n]] + w for n in range(1, len(s) + 1) if s[:n] in weight for rest, w in paths(s[n:]).items()}
+
+    every = paths("▁then")
+    total = np.logaddexp.reduce(list(every.values()))
+    p = {k: float(np.exp(v - total)) for k, v in every.items()}
+    n, triples, mass, pieces = 12_000, Counter(), [], []
+    for got in lat.sample(["then"] * n, np.arange(n), 3, seed=5):
+        own = [tuple(lat.pieces[i] for i in s[0]) for s in got]
+        assert len(set(own)) == 3 and all(0 < math.exp(s[3]) <= 1 for s in got)
+        triples[tuple(own)] += 1
+        weights = [p[x] / math.exp(s[3]) for x, s in zip(own, got, strict=True)]
+        mass.append(sum(weights))
+        pieces.append(sum(w * len(x) for w, x in zip(weights, own, strict=True)))
+    for (a, b, d), count in triples.items():
+        assert count / n == pytest.approx(p[a] * p[b] / (1 - p[a]) * p[d] / (1 - p[a] - p[b]), abs=0.02)
+    error = lambda x: 5 * np.std(x) / np.sqrt(n)
+    assert np.mean(mass) == pytest.approx(1, abs=error(mass)) and np.mean(pieces) == pytest.approx(sum(len(x) * v for x, v in p.items()), abs=error(pieces))
+    # equal rows have equal samples, whatever stands beside them; clashing columns are replaced
+    assert [[s[0].tolist() for s in x] for x in lat.sample(["then", "other", "then"], np.array([7, 8, 7]), 3)][::2] == [[s[0].tolist() for s in lat.sample(["then"], np.array([7]), 3)[0]]] * 2
+
+
+def test_segment_columns(spark):
+    df = spark.createDataFrame([(1, "the cat", "own", 2), (1, "the cat", "own", 2)], "doc_id long, text string, samples string, ids int")
+    found = segment_sampling.sample_segmentations(df, P.path("piece_bpe_32k.model"))
+    assert found.columns == ["doc_id", "text", "ids", "samples"]
+    a, b = segment_sampling.shown(found).collect()
+    assert a == b and a.n_samples == 2 and a.text == "the cat" and all(a.decoded)
+
+
 # ---- all
 
 
@@ -365,21 +441,3 @@ def test_oracles(spark, name):
 
     got, exp = queries.QUERIES[name](spark, SF).toPandas(), compare.oracle(SF).sql(queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(exp.columns) and compare.rows(got) == compare.rows(exp)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline as c
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9000, None, "en", "s", 0), (9001, "", None, None, 0), (9002, "123", "en", "s", 3), (9003, docs.first().text, "en", "s", 1)], docs.schema)
-    df = docs.unionByName(odd)
-    for _, stage in c.STAGES[:-1]:
-        out = stage(spark, df, SF)
-        assert out.columns == df.columns
-        df = spark.createDataFrame(out.collect(), docs.schema)
-        assert df.count()
-    last = c.STAGES[-1][1](spark, df, SF).collect()
-    assert len(last) == df.count() and all(r.n_samples == len(r.logp) for r in last)
-    for _, stage in c.STAGES:
-        assert stage(spark, docs.limit(0), SF).count() == 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
