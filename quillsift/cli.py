@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import platform
+import shutil
 import sys
+from pathlib import Path
 
 from .operators.cleaner import clean_text
 from .operators.diff import line_diff
@@ -29,6 +34,8 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--limit", type=int, default=10)
     o = p.parse_args(args)
     try:
+        if o.command == "doctor":  # reports what is wrong instead of stopping at it
+            return _doctor(o)
         raw = configuration.load(o.config)
         if o.command == "validate":
             found = configuration.problems(raw)
@@ -38,12 +45,6 @@ def main(args: list[str] | None = None) -> int:
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
-    if o.command == "doctor":
-        for name in configuration.FEATURES:
-            print(f"{name}: {'on' if config.enabled(name) else 'off'}")
-        if not config.settings.sensitive_filter:
-            print("warning: the secret filter is off")
-        return 0
     if o.command == "history":
         return _history(o)
     try:
@@ -67,6 +68,46 @@ def main(args: list[str] | None = None) -> int:
     return 0
 
 
+def diagnosis(config: str | None, profile: str | None, folder: str | None) -> list[tuple[str, bool, str]]:
+    """(what, fine, note) of the machine, the configuration file, its switches, the history folder, and a text cleaned on trial."""
+    place = Path(config) if config else configuration.default_path()
+    out = [("python", sys.version_info >= (3, 10), f"{platform.python_version()} on {platform.system()} {platform.machine()}")]
+    java = shutil.which("java") or os.environ.get("JAVA_HOME")
+    out.append(("java", bool(java), java or "not found: Spark can't start"))
+    out.append(("configuration", True, f"{place} " + ("exists" if place.exists() else "doesn't exist: defaults hold")))
+    settings = configuration.Config().settings
+    try:
+        raw = configuration.load(place)
+        faults = configuration.problems(raw)
+        out += [("configuration", False, x) for x in faults] or [("configuration", True, "valid")]
+        resolved = configuration.resolve(raw, profile) if not faults else configuration.Config()
+        settings = resolved.settings
+        out += [("feature", True, f"{name} {'on' if resolved.enabled(name) else 'off'}") for name in configuration.FEATURES]
+    except ValueError as e:
+        out.append(("configuration", False, str(e)))
+    if not settings.sensitive_filter:
+        out.append(("secret filter", False, "off: texts that look like secrets are cleaned and kept"))
+    if folder and "://" not in folder:
+        manifest = Path(folder) / "manifest.json"
+        try:
+            parts = json.loads(manifest.read_text())["parts"] if manifest.exists() else []
+            gone = [p for p in parts if not (Path(folder) / p).is_dir()]
+            size = sum(f.stat().st_size for p in parts for f in (Path(folder) / p).glob("*.parquet"))
+            out.append(("history", not gone, f"{folder}: {len(parts)} parts, {size} bytes" + (f", missing {gone}" if gone else "")))
+        except (ValueError, KeyError, TypeError):
+            out.append(("history", False, f"{manifest} can't be read"))
+    trial, _ = clean_text("“a” — b")
+    out.append(("trial", trial == '"a" -- b', "a text was cleaned" if trial == '"a" -- b' else f"cleaning gave {trial!r}"))
+    return out
+
+
+def _doctor(o: argparse.Namespace) -> int:
+    found = diagnosis(o.config, o.profile, o.folder)
+    for name, fine, note in found:
+        print(f"{name}: {note}" + ("" if fine else "  <- needs a look"))
+    return int(not all(fine for _, fine, _ in found))
+
+
 def _history(o: argparse.Namespace) -> int:
     from pyspark.sql import SparkSession
 

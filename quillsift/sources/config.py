@@ -64,9 +64,13 @@ class Config:
         return bool(getattr(self.settings, feature)) if feature in FEATURES else False
 
 
+def default_path() -> Path:
+    return Path.home() / ".quillsift" / "config.toml"
+
+
 def load(path: str | os.PathLike | None = None) -> dict:
     """The raw tables of the file; empty if there is none. Only modes 0600 and 0644 are trusted."""
-    place = Path(path) if path is not None else Path.home() / ".quillsift" / "config.toml"
+    place = Path(path) if path is not None else default_path()
     if not place.exists():
         return {}
     if (mode := stat.S_IMODE(place.stat().st_mode)) not in (0o600, 0o644):

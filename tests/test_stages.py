@@ -217,3 +217,19 @@ def test_cli(monkeypatch, capsys, tmp_path):
     bad.write_text("[settings]\nmax_input_bytes = 0\n")
     bad.chmod(0o600)
     assert cli.main(["--config", str(bad), "validate"]) == 1 and "max_input_bytes" in capsys.readouterr().out
+
+
+def test_doctor(tmp_path, capsys):
+    """What is wrong is said, and counts."""
+    own = tmp_path / "c.toml"
+    assert cli.main(["--config", str(own), "doctor"]) == 0 and "defaults hold" in capsys.readouterr().out
+    own.write_text('[settings]\nsensitive_filter = false\nauto_wrapper = true\n[[rules]]\nname = "r"\npattern = "(a+)+"\nreplacement = ""\n')
+    own.chmod(0o600)
+    (tmp_path / "manifest.json").write_text('{"parts": ["rows-x"], "batches": []}')
+    assert cli.main(["--config", str(own), "--folder", str(tmp_path), "doctor"]) == 1
+    said = capsys.readouterr().out
+    assert "rule 'r'" in said and "missing ['rows-x']" in said and said.count("needs a look") == 2
+    own.write_text("[settings]\nsensitive_filter = false\n")
+    assert cli.main(["--config", str(own), "doctor"]) == 1 and "secret filter: off" in capsys.readouterr().out
+    own.chmod(0o666)
+    assert cli.main(["--config", str(own), "doctor"]) == 1 and "permissions 666" in capsys.readouterr().out
