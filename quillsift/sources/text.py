@@ -26,9 +26,19 @@ def write_texts(df: DataFrame, path: str, text_col: str = "cleaned") -> None:
     df.select(F.col(text_col)).write.text(path)
 
 
-def sink(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str):
-    """A stream to each(batch, batch_id); what each does must stand a replay of the last batch."""
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sink(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, restore: Callable[[DataFrame, int], None] | None = None):
+    """A stream to each(batch, batch_id); what each does must stand a replay of the last batch. If it fails, restore(batch, batch_id) puts
+    back what was there (the raw texts), and the failure goes on."""
+
+    def guarded(batch: DataFrame, batch_id: int) -> None:
+        try:
+            each(batch, batch_id)
+        except Exception:
+            if restore is not None:
+                restore(batch, batch_id)
+            raise
+
+    return stream.writeStream.foreachBatch(guarded).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def html_column(html: Column) -> Column:

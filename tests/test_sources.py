@@ -144,5 +144,10 @@ def test_texts(spark, tmp_path):
     got = []
     T.sink(T.stream_texts(spark, str(tmp_path / "in")), lambda df, i: got.append(df.count()), str(tmp_path / "cp")).awaitTermination()
     assert got == [2]
+    back = []
+    failing = T.sink(T.stream_texts(spark, str(tmp_path / "in")), lambda df, i: 1 // 0, str(tmp_path / "cp2"), lambda df, i: back.extend(r.text for r in df.collect()))
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        failing.awaitTermination()
+    assert sorted(back) == ["b", "é"]
     t = spark.createDataFrame([("| a | b |\n|---|---|\n| 1 | 2 |",), (None,)], "t string").select(T.table_column(F.col("t")).alias("t")).select("t.detected", T.table_json(F.col("t")).alias("j")).collect()
     assert [r.detected for r in t] == [True, False] and json.loads(t[0].j)["rows"] == [["a", "b"], ["1", "2"]]
