@@ -55,13 +55,17 @@ def code_score(filled: list[str], language: str | None) -> int:
     return (share(lambda x: x[0] in " \t") >= 40) + (language is not None) + (share(lambda x: any(c in x for c in "{};")) >= 15) - 2 * (share(is_sentence_end) >= 30)
 
 
+# What the stage says in the context.
+SAID_JSON, SAID_TABLE, SAID_CODE = "prettified JSON", "converted {}-delimited data to Markdown table", "wrapped code block"
+
+
 def structure_stage(text: str, ctx: Context) -> str:
     own = trim(text)
     if ctx.content_type in (SHELL, LIST) or (own.startswith(FENCE) and own.endswith(FENCE)):
         return text
     if (out := pretty_json(own)) is not None:
         ctx.content_type = JSON
-        ctx.fired("structural_detection", "prettified JSON", abs(n_bytes(out) - n_bytes(own)))
+        ctx.fired("structural_detection", SAID_JSON, abs(n_bytes(out) - n_bytes(own)))
         return out
     lines = lines_of(own)
     if len(lines) >= 2:
@@ -70,7 +74,7 @@ def structure_stage(text: str, ctx: Context) -> str:
                 if n_bytes(out) > MOST_RATIO * n_bytes(text):
                     break  # a later delimiter isn't tried
                 ctx.content_type = TABLE
-                ctx.fired("structural_detection", f"converted {name}-delimited data to Markdown table", abs(n_bytes(out) - n_bytes(text)))
+                ctx.fired("structural_detection", SAID_TABLE.format(name), abs(n_bytes(out) - n_bytes(text)))
                 return out
     filled = [line for line in lines if line]
     if len(lines) <= 3 or not filled or any(map(is_fence, lines)):
@@ -79,5 +83,5 @@ def structure_stage(text: str, ctx: Context) -> str:
     if not own.startswith("#!") and code_score(filled, language) < 2:
         return text
     ctx.content_type = CODE
-    ctx.fired("structural_detection", "wrapped code block" + (f" ({language})" if language else ""), 6 + len(language or ""))
+    ctx.fired("structural_detection", SAID_CODE + (f" ({language})" if language else ""), 6 + len(language or ""))
     return f"{FENCE}{language or ''}\n{own}\n{FENCE}"
