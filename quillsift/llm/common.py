@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..functions.columns import free_names, named  # noqa: F401  the operators take both from here
+
 #: Rows that one step inside a Python worker handles at once; bounds a worker's memory beside one Arrow batch.
 SLICE_ROWS, BATCH_ROWS = 256, 1024
 #: The word pattern of every operator here, `[^\x20\x09-\x0D]+`, as a byte table of its separators.
@@ -87,22 +89,6 @@ def sweep(spark: SparkSession, now: bool = False) -> int:
     return len(_LIVE)
 
 
-def free_names(df: DataFrame, *wanted: str) -> list[str]:
-    """Names like the wanted ones that no column of df has, whatever the case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def named(column: str) -> Column:
-    """A column by its name as it stands, dots and all."""
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def row_of(df: DataFrame) -> Column:
     """All columns of df as one struct, which no other name can clash with; `row.*` gives them back."""
     return F.struct(*map(named, df.columns))
