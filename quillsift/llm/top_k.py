@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialise, small_batches
 
-#: Queries in a block and their MB, candidates that are bounded at once, and candidates that give queries their first floor.
-BLOCK, BLOCK_MB, STEP, SEEDS = 65_536, 64, 512, 1024
+#: Queries in a block and their MB, candidates that are bounded at once, pairs that are at most, and exact products that are made at once.
+BLOCK, BLOCK_MB, STEP, PAIRS, PRODUCTS = 65_536, 64, 512, 1 << 18, 1 << 14
+#: Candidates that give queries their first floor.
+SEEDS = 1024
 #: Vector lengths that get axes, and their most components.
 LENGTHS, MOST_AXES = 8, 1024
 #: Share of the squared length that the first coordinates are to hold on average.
@@ -121,7 +123,8 @@ class Best:
         to = 0
         while to < len(ids) and len(self.live):
             # short steps at first, while floors are low
-            at, to, self.step = to, min(to + self.step, len(ids)), min(2 * self.step, STEP)
+            step = max(1, min(self.step, PAIRS // len(self.live)))
+            at, to, self.step = to, min(to + step, len(ids)), min(2 * self.step, STEP)
             longest = length[at:to].max()
             slack = 1e-6 * (1 + block.length * longest)
             # queries that no candidate from here on can reach are done for good
@@ -129,23 +132,30 @@ class Best:
             bound = block.front[live] @ r[at:to, : block.head].T + block.rest[live][:, None] * rest[at:to] + slack[live][:, None]
             qi, ci = np.nonzero(~(bound < self.floor[live][:, None]) & (block.ids[live][:, None] != ids[at:to]))
             if len(qi):
-                self._exact(live[qi], ids[at:to][ci], c[at:to][ci], length[at:to][ci])
+                self._exact(live[qi], at + ci, ids, c, length)
 
-    def _exact(self, qi: np.ndarray, ids: np.ndarray, c: np.ndarray, length: np.ndarray) -> None:
+    def _exact(self, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, c: np.ndarray, length: np.ndarray) -> None:
         self.made += len(qi)
-        q, k = self.block.q[qi], self.k
-        large = (length >= LARGE) | (self.block.length[qi] >= LARGE)
+        q, k = self.block.q, self.k
+        large = (length[ci] >= LARGE) | (self.block.length[qi] >= LARGE)
         if large.any() and self.s.dtype != object:
             self.s = self.s.astype(object)
         s = np.zeros(len(qi), self.s.dtype)
         plain = np.flatnonzero(~large)
-        s[plain] = np.einsum("ij,ij->i", q[plain].astype(np.int64), c[plain].astype(np.int64))
+        rows = np.unique(qi)
+        first, last = int(ci.min()), int(ci.max()) + 1
+        if 8 * len(qi) > len(rows) * (last - first) and self.block.length[rows].max() * length[first:last].max() < 2.0**52:
+            # most pairs are wanted, and doubles hold every sum of their products exactly
+            s[:] = (q[rows] @ c[first:last].T)[np.searchsorted(rows, qi), ci - first].astype(np.int64)
+            plain = plain[:0]
+        for at in range(0, len(plain), PRODUCTS):
+            own = plain[at : at + PRODUCTS]
+            s[own] = np.einsum("ij,ij->i", q[qi[own]].astype(np.int64), c[ci[own]].astype(np.int64))
         for x in np.flatnonzero(large).tolist():
-            s[x] = sum(int(a) * int(b) for a, b in zip(q[x], c[x], strict=True))
+            s[x] = sum(int(a) * int(b) for a, b in zip(q[qi[x]], c[ci[x]], strict=True))
         # the new ones beside the old ones, best k of each query
-        rows = np.unique(qi)
         all_s = np.concatenate([self.s[rows].ravel(), s])
-        all_i = np.concatenate([self.i[rows].ravel(), ids])
+        all_i = np.concatenate([self.i[rows].ravel(), ids[ci]])
         all_q = np.concatenate([np.repeat(np.arange(len(rows)), k), np.searchsorted(rows, qi)])
         there = np.concatenate([np.arange(k)[None, :].repeat(len(rows), 0).ravel() < self.held[rows].repeat(k), np.ones(len(s), bool)])
         all_s, all_i, all_q = all_s[there], all_i[there], all_q[there]
