@@ -26,7 +26,7 @@ class S:
     run = "regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '')"
     join = staticmethod(lambda x, by=NL: f"array_join({x}, {by})")
     each = staticmethod(lambda x, e: f"transform({x}, (x, i) -> {e})")
-    cut = staticmethod(lambda x, n: f"transform(sequence(0, CAST(greatest(0, (length({x}) - 1) div {n}) AS INT)), k -> substr({x}, k * {n} + 1, {n}))")
+    cut = staticmethod(lambda x, n: f"if({x} = '', array(''), regexp_extract_all({x}, '.{{1,{n}}}', 0))")
     add = staticmethod(lambda x, *more: f"concat({x}, array({', '.join(more)}))")
     keep = staticmethod(lambda x, e: f"filter({x}, x -> {e})")
 
@@ -38,7 +38,7 @@ class D:
     run = "regexp_replace(lower(coalesce(text, '')), '[^a-z]+', '', 'g')"
     join = staticmethod(lambda x, by=NL: f"array_to_string({x}, {by})")
     each = staticmethod(lambda x, e: f"list_transform({x}, lambda x, j: {e.replace('i %', '(j - 1) %').replace('<i>', '(j - 1)')})")
-    cut = staticmethod(lambda x, n: f"list_transform(range(0, greatest(0, (length({x}) - 1) // {n}) + 1), lambda k: substr({x}, (k * {n} + 1)::INT, {n}))")
+    cut = staticmethod(lambda x, n: f"CASE WHEN {x} = '' THEN [''] ELSE regexp_extract_all({x}, '.{{1,{n}}}') END")
     add = staticmethod(lambda x, *more: f"list_concat({x}, [{', '.join(more)}])")
     keep = staticmethod(lambda x, e: f"list_filter({x}, lambda x: {e})")
 
