@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -115,10 +116,20 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
             for at in range(0, batch.num_rows, rows):
                 got = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c := got[f.name], pa.Array) else pa.array(c, type=f.type) for f in out], schema=out)
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns memory that this worker has freed to the machine: it stays, idle, beside the workers of later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed blocks otherwise
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of BATCH_ROWS rows at most in this session: texts are long, and idle workers keep what they once needed."""
     if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:

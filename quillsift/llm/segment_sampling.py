@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, free_names, mix64, named, pa_schema, passing, small_batches, text_bytes
+from .common import IntTable, free_names, give_back, mix64, named, pa_schema, passing, small_batches, text_bytes
 
 SPACE = "▁"
 SLICE_CHARS = 60_000
-#: Rows (places of distinct chunks) that a task remembers: 16 arcs of 8 bytes each.
-HELD_ROWS, SLOT_BITS = 1_200_000, 19
+#: Rows (places of distinct chunks) that a task remembers: 16 arcs of 6 bytes each.
+HELD_ROWS, SLOT_BITS = 600_000, 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -np.inf
 
@@ -81,6 +81,8 @@ class Lattice:
             known[int(h[0])] = at
         self.table, self.begins = IntTable(np.array(list(known), np.uint64).view(np.int64)), np.array(list(known.values()), np.int64)
         self.used, self.held = 0, None
+        self.kind = np.dtype(np.uint16 if n < 65_535 else np.int32)  # of piece numbers; the largest stands for bytes
+        self.none = np.iinfo(self.kind).max
         own = {int(b): bytes([i]) for i, b in enumerate(self.bytes) if b >= 0}
         self.piece_bytes = pa.array([own[i] if i in own else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], pa.binary())
 
@@ -99,7 +101,7 @@ class Lattice:
         for _ in range(2):
             if self.held is None:
                 rows = min(HELD_ROWS, max(4096, 64 * int(sizes.sum())))  # small inputs need a small one
-                self.held = (np.empty((rows, self.most), np.int32), np.empty((rows, self.most), np.float32))
+                self.held = (np.empty((rows, self.most), self.kind), np.empty((rows, self.most), np.float32))
             if self.used == 0:
                 self.names, self.rows = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int64)
             at = np.where(self.names[slot] == names, self.rows[slot], -1)
@@ -135,7 +137,7 @@ class Lattice:
         off = np.concatenate([[0], np.cumsum(count)])
         left = np.repeat(np.arange(1, longest + 1), count)
         src = (starts + sizes)[np.arange(rows) - np.repeat(off[:-1], count)] - left
-        weight, piece = np.full((m, rows), _NEVER), np.full((m, rows), -1, np.int32)
+        weight, piece = np.full((m, rows), _NEVER), np.full((m, rows), self.none, self.kind)
         live, h = np.arange(rows), np.zeros(rows, np.uint64)
         for step in range(m):
             h = self._step(h, cp[src[live] + step])
@@ -147,7 +149,7 @@ class Lattice:
             if step == 0:
                 odd = live[~hit]
                 width = 1 + (cp[src[odd]] > 0x7F) + (cp[src[odd]] > 0x7FF) + (cp[src[odd]] > 0xFFFF).astype(np.int64)
-                weight[0, odd], piece[0, odd] = self.log_byte * width, -2
+                weight[0, odd] = self.log_byte * width
             on = (found >= 0) & (left[live] > step + 1)
             live, h = live[on], h[on]
             if not len(live):
@@ -242,82 +244,84 @@ class _Slice:
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         docs = len(self.doc) - 1
         n = len(self.cp)
-        lengths, nodes, spent = [], [], [dict() for _ in range(docs)]  # spent: arcs already taken at (path, place)
+        paths, spent = [], [dict() for _ in range(docs)]  # spent: arcs already taken at (path, place)
         found: list[list] = [[] for _ in range(docs)]
-        logps = []
         # the first path: the root's priority is a Gumbel of mass 1
         value = -np.log(-np.log(self._unit(self.doc[:-1], np.arange(docs), 0, 1)))
         length = np.zeros(n, np.uint8)
         bits = np.zeros(n, np.uint64)
         self._follow(length, bits, self.starts, 0)
-        branch = self.doc[:-1].copy()  # places from it on are new
-        logp = np.zeros(n)
+        branch, old = self.doc[:-1].copy(), []  # places from `branch` on are new; old: log-probabilities of those before
         alive = np.ones(docs, bool)
         for pop in range(k):
             steps = np.flatnonzero(length)
-            of = self.doc_of[steps]
-            at_or_after = steps >= branch[of]
-            fresh = steps[at_or_after]
-            r, arc = self.row[fresh], length[fresh].astype(np.int64) - 1
-            p = self.prob[r, arc].astype(np.float64)
-            logp[fresh] = np.log(p)
+            bound = np.searchsorted(steps, self.doc)
+            sizes = np.diff(bound)
+            new = steps >= np.repeat(branch, sizes)
+            fresh = steps[new]
+            row, arc = self.row[steps], length[steps].astype(np.int64) - 1
+            r, c = row[new], arc[new]
+            p = self.prob[r, c].astype(np.float64)
             others = 1 - p  # the mass of the other arcs; where it would cancel, summed
             if len(sharp := np.flatnonzero(p > 0.99)):
                 beside = self.prob[r[sharp]]
-                beside[np.arange(len(sharp)), arc[sharp]] = 0
+                beside[np.arange(len(sharp)), c[sharp]] = 0
                 others[sharp] = beside.sum(1)
-            lp = logp[steps]
+            lp = np.empty(len(steps))
+            lp[new] = np.log(p)
+            if old:
+                lp[~new] = np.concatenate(old)
             total = np.cumsum(lp)
-            bound = np.searchsorted(steps, self.doc)
             base = np.where(bound[:-1] > 0, total[np.maximum(bound[:-1] - 1, 0)], 0.0)
-            before = total - lp - base[of]
-            node = np.full(n, _NEVER)
+            before = total - lp - np.repeat(base, sizes)
+            node = np.full(len(steps), _NEVER)
             with np.errstate(divide="ignore", invalid="ignore"):
-                node[fresh] = self._truncated(before[at_or_after] + np.log(others), value[of[at_or_after]], ((bits[fresh] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32)
-            prefix = np.zeros(n)
-            prefix[steps] = before
-            pieces = self.piece[self.row[steps], length[steps].astype(np.int64) - 1]
+                node[new] = self._truncated(before[new] + np.log(others), np.repeat(value, sizes)[new], ((bits[fresh] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32)
+            pieces = self.piece[row, arc].astype(np.int32)
+            pieces[pieces == self.lat.none] = -1  # a character as bytes
             for d in np.flatnonzero(alive).tolist():
                 lo, hi = bound[d], bound[d + 1]
                 found[d].append([self._ids(steps[lo:hi], pieces[lo:hi]), float(total[hi - 1] - base[d]), float(value[d])])
                 if pop:  # what is left at the branching place
                     j, taken = int(branch[d]), spent[d][pop]
+                    at = lo + int(np.searchsorted(steps[lo:hi], j))
                     p = self.prob[self.row[j]].astype(np.float64)
                     p[taken] = 0
-                    node[j] = _NEVER
+                    node[at] = _NEVER
                     if (mass := p.sum()) > 0:
-                        node[j] = self._truncated(prefix[j] + np.log(mass), value[d], self._unit(np.array([j]), np.array([d]), pop, 2)[0])
-            lengths.append(length)
-            nodes.append(node)
-            logps.append(logp)
-            # the next pop of each text
-            best = np.stack([np.maximum.reduceat(x, self.doc[:-1]) for x in nodes])
+                        node[at] = self._truncated(before[at] + np.log(mass), value[d], self._unit(np.array([j]), np.array([d]), pop, 2)[0])
+            paths.append((length, steps, bound, node, lp))
+            # the next pop of each text; a text that is done has no path
+            best = np.stack([np.array([node[bound[d] : bound[d + 1]].max(initial=_NEVER) for d in range(docs)]) if (sizes := np.diff(bound)).min() == 0 else np.maximum.reduceat(node, bound[:-1]) for _, _, bound, node, _ in paths])
             on = np.argmax(best, 0)
             value = best[on, np.arange(docs)]
             alive &= value > _NEVER
             if pop == k - 1 or not alive.any():
                 break
-            length, logp = np.zeros(n, np.uint8), np.zeros(n)
-            branch = np.full(docs, n)
+            length, branch, old = np.zeros(n, np.uint8), np.full(docs, n), []
             open_places = []
             for d in np.flatnonzero(alive).tolist():
                 a, lo, hi = int(on[d]), int(self.doc[d]), int(self.doc[d + 1])
-                j = lo + int(np.argmax(nodes[a][lo:hi]))
-                nodes[a][j] = _NEVER
-                taken = spent[d].get(a, []) if a and self._branched(spent[d], a, j) else [int(lengths[a][j]) - 1]
+                taken_length, steps, bound, node, lp = paths[a]
+                first = bound[d]
+                at = first + int(np.argmax(node[first : bound[d + 1]]))
+                j = int(steps[at])
+                node[at] = _NEVER
+                taken = spent[d].get(a, []) if a and self._branched(spent[d], a, j) else [int(taken_length[j]) - 1]
                 p = self.prob[self.row[j]].astype(np.float64)
                 p[taken] = 0
                 c = np.cumsum(p)
                 arc = int(np.searchsorted(c, c[-1] * self._unit(np.array([j]), np.array([d]), pop + 1, 3)[0] * (1 - 1e-9), side="right"))
                 spent[d][pop + 1], spent[d][-pop - 1] = [*taken, arc], j
-                length[lo:j], logp[lo:j] = lengths[a][lo:j], logps[a][lo:j]
+                length[lo:j] = taken_length[lo:j]
+                old.append(lp[first:at])
                 length[j] = arc + 1
                 branch[d] = j
                 if j + arc + 1 < self.end[j]:
                     open_places.append(np.array([j + arc + 1]))
                 open_places.append(self.starts[np.searchsorted(self.starts, j + 1) : np.searchsorted(self.starts, hi)])
             self._follow(length, bits, np.concatenate(open_places), pop + 1)
-        kappa = np.max([np.maximum.reduceat(x, self.doc[:-1]) for x in nodes], 0)
+        kappa = best.max(0)
         return [[(ids, lp, g, self._inclusion(lp, kappa[d])) for ids, lp, g in found[d]] for d in range(docs)]
 
     @staticmethod
@@ -392,6 +396,7 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), _arrays(found, part.column(len(keep)), lat, out.field("samples").type)], schema=out)
                 at = to
         lat.forget()
+        give_back()
 
     return docs.select(*map(named, keep), F.col(text_col).alias(text), F.col(key_col).cast("long").alias(key)).mapInArrow(run, schema)
 
