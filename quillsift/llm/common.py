@@ -79,7 +79,7 @@ def drop(*tables: DataFrame) -> None:
 
 def sweep(spark: SparkSession, now: bool = False) -> int:
     """Deletes the tables that no plan can read any more, and returns how many are left. now: collects garbage first, so that
-    plans that went out of use are known to have."""
+    plans that went out of use are known to have. (An RDD doesn't hold the plan it was made of: keep the DataFrame beside it.)"""
     if now:
         gc.collect()
         spark._jvm.System.gc()
