@@ -157,12 +157,18 @@ class History:
         self.undo.extend(Undo(r["raw_text"], r["cleaned_text"], r["raw_hash"]) for r in new.orderBy(*newest_first()).limit(UNDO).collect()[::-1])
         return True
 
-    def commit(self, ids: list[int] | None = None, keep: int = KEEP) -> None:
-        chosen = F.lit(True) if ids is None else F.col("id").isin(ids)
+    @staticmethod
+    def _chosen(ids: list[int] | Column) -> Column:
+        return ids if isinstance(ids, Column) else F.col("id").isin(ids)
+
+    def commit(self, ids: list[int] | Column | None = None, keep: int = KEEP) -> None:
+        """Commits the rows that a list of ids or a condition picks, all without one."""
+        chosen = F.lit(True) if ids is None else self._chosen(ids)
         self._compact(pruned(self.rows().withColumn("committed", F.col("committed") | chosen), keep), self._state()["batches"])
 
-    def rollback(self, ids: list[int]) -> None:
-        self._compact(self.rows().where(F.col("committed") | ~F.col("id").isin(ids)), self._state()["batches"])
+    def rollback(self, ids: list[int] | Column) -> None:
+        """Takes back rows that aren't committed, by a list of ids or a condition."""
+        self._compact(self.rows().where(F.col("committed") | ~self._chosen(ids)), self._state()["batches"])
 
     def undo_last(self) -> Undo | None:
         """The newest text that was prepared, raw and cleaned, even if it was rolled back."""
