@@ -20,3 +20,8 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 def named(column: str) -> Column:
     """A column by its name as it stands, dots and all."""
     return F.col("`" + column.replace("`", "``") + "`")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with names that Spark's Python functions can refer to: those with dots or backticks are replaced, in their places."""
+    return df.toDF(*[free_names(df, f"column{i}")[0] if set(".`") & set(c) else c for i, c in enumerate(df.columns)])

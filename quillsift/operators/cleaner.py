@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import native
 from ..functions.chars import n_bytes
-from ..functions.columns import free_names, named
+from ..functions.columns import free_names, named, plain
 from ..sources.config import Config
 from .base import CONTEXT_DDL, Context, Stage, summary
 from .characters import artifact_stage, secret_in, unicode_stage
@@ -112,7 +112,7 @@ def clean(df: DataFrame, text_col: str = "text", config: Config | None = None, n
                     contexts.append(vars(ctx) | {"rules_fired": [{"stage": s, "description": d, "chars_changed": c} for s, d, c in ctx.rules_fired]})
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(c, arrow.field(n + i).type) for i, c in enumerate((texts, contexts)))], schema=arrow)
 
-    return flagged.mapInArrow(run, schema)
+    return plain(flagged).mapInArrow(run, schema)
 
 
 def clean_cell(table: Column, row: int, column: int) -> Column:

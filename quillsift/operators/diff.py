@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.columns import free_names, named
+from ..functions.columns import free_names, named, plain
 
 #: Pairs of equal lines that a diff looks at, at most; texts with more, which repeat a few lines over and over, are shown as replaced between
 #: their common beginning and end.
@@ -65,4 +65,4 @@ def diff_rows(df: DataFrame, before: str, after: str, keep: tuple[str, ...]) ->
                 at_row = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays([*(part.column(i).take(at_row) for i in range(n)), pa.array(numbers, pa.int32()), pa.array(signs, pa.string()), pa.array(lines, pa.string())], schema=out)
 
-    return df.select(*map(named, keep), F.col(before).alias(names[0]), F.col(after).alias(names[1])).mapInArrow(run, schema)
+    return plain(df.select(*map(named, keep), F.col(before).alias(names[0]), F.col(after).alias(names[1]))).mapInArrow(run, schema)

@@ -197,15 +197,18 @@ def test_clean_over_a_column(spark):
 
 def test_clean_keeps_columns_of_any_name(spark):
     """No name of the caller's clashes, and building the result runs no job."""
-    df = spark.createDataFrame([(1, "“a”", 5, True, "o", "c", 2)], "_big int, text string, big int, secret boolean, Cleaned string, active string, size int")
-    grouped = df.groupBy(*df.columns).count()
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, "“a”", 5, True, "o", "c", 2, 3)], "_big int, text string, big int, secret boolean, Cleaned string, active string, size int, `a.b` int")
+    df = df.withColumnRenamed("`a.b`", "a.b")
+    grouped = df.distinct().withColumn("count", F.lit(1))
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("clean", "clean")
     out = cleaner.clean(grouped, config=Config(Settings(max_input_bytes=20)))
     assert not tracker.getJobIdsForGroup("clean")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     row = out.first()
-    assert out.columns == ["_big", "text", "big", "secret", "active", "size", "count", "cleaned", "ctx"]
+    assert out.columns == ["_big", "text", "big", "secret", "active", "size", "a.b", "count", "cleaned", "ctx"] and row["a.b"] == 3
     assert (row["_big"], row["big"], row["secret"], row["active"], row["size"], row["cleaned"], row["ctx"]["skipped_oversize"]) == (1, 5, True, "c", 2, '"a"', False)
 
 
