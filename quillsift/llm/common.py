@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.columns import free_names, named  # noqa: F401  the operators take both from here
+from ..functions.columns import free_names, named, plain  # noqa: F401  the operators take them from here
 
 #: Rows that one step inside a Python worker handles at once; bounds a worker's memory beside one Arrow batch.
 SLICE_ROWS, BATCH_ROWS = 256, 1024
@@ -119,7 +119,7 @@ def map_batches(df: DataFrame, schema: str | StructType, make: Callable[[], Call
         del work
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return plain(df).mapInArrow(run, schema)
 
 
 def give_back() -> None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, free_names, map_batches, materialise, mix64, shingle_sets, text_bytes
+from .common import drop, free_names, map_batches, materialise, mix64, named, shingle_sets, text_bytes
 
 #: Base keys a collection, and MinHash values a base key.
 HALVES, ROWS = 20, 4
@@ -239,7 +239,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if not twice.isEmpty():  # of rows equal in id and text one stays; partial aggregation takes the others before the shuffle
         again = few(twice)
         own = own.join(again, on(again), "left_anti").unionByName(own.join(again, on(again), "left_semi").dropDuplicates([key, mark]))
-    return own.select(*docs.columns)
+    return own.select(*map(named, docs.columns))
 
 
 def slots(live: DataFrame, labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IntTable, free_names, give_back, mix64, named, pa_schema, passing, small_batches, text_bytes
+from .common import IntTable, free_names, give_back, mix64, named, pa_schema, passing, plain, small_batches, text_bytes
 
 SPACE = "▁"
 SLICE_CHARS = 60_000
@@ -398,7 +398,7 @@ def sample_segmentations(docs: DataFrame, path: str, *, k: int = 2, theta: float
         lat.forget()
         give_back()
 
-    return docs.select(*map(named, keep), F.col(text_col).alias(text), F.col(key_col).cast("long").alias(key)).mapInArrow(run, schema)
+    return plain(docs.select(*map(named, keep), F.col(text_col).alias(text), F.col(key_col).cast("long").alias(key))).mapInArrow(run, schema)
 
 
 #: Columns of shown(), after those that are kept.

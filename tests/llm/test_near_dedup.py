@@ -46,10 +46,11 @@ def test_against_brute_force(spark, percent):
             rows.append((n, " ".join(edited(base, r.randrange(8), r))))
             n += 1
     rows += [(n, rows[3][1]), (n + 1, "A b\tC d\ne"), (n + 2, "a B c D E"), (n + 3, "one two"), (n + 4, "ONE two"), (n + 5, ""), (n + 6, None), (None, rows[5][1]), (9, rows[80][1]), (9, rows[9][1]), (9, rows[9][1])]
-    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string").repartition(5)
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string").selectExpr("*", "doc_id AS `a.b`", "text AS Mark", "1 AS key").repartition(5)
     got = near_dedup.near_duplicates(df, percent=percent, halves=20).collect()
     assert sorted(((g.doc_id, g.n_shingles, g.component_id) for g in got), key=str) == brute(rows, percent)
     one = near_dedup.one_of_each(df, percent=percent, halves=20).collect()
+    assert all(o["a.b"] == o.doc_id and o.Mark == o.text and o.key == 1 for o in one)
     assert len([o for o in one if shingles(o.text)]) == len({g.component for g in got if g.component}) and len([o for o in one if not shingles(o.text)]) == 2
 
 

@@ -33,9 +33,9 @@ def test_language_id(spark, docs):
     assert [r.lang_pred for r in language_id.identify(odd, model, text_col="t").orderBy("id").collect()] == ["und", "und", "und", "de"]
     none = language_id.learn(spark.createDataFrame([(1, None, "en"), (2, "a", None)], "doc_id long, text string, lang string"))
     assert none.infer("abc")[0] == "und" and language_id.identify(odd.limit(0), model, text_col="t").count() == 0
-    odd = odd.withColumns({"score": F.lit("own"), "Mixture": F.lit(1), "text": F.lit(2)})
+    odd = odd.withColumns({"score": F.lit("own"), "Mixture": F.lit(1), "text": F.lit(2), "a.b`c": F.lit(3)})
     got = language_id.identify(odd.unionByName(odd), model, text_col="t").collect()
-    assert got[0].asDict().keys() == {"id", "t", "text", "lang_pred", "score", "mixture"} and len(got) == 8 and all(isinstance(r.score, float) and r.text == 2 for r in got)
+    assert got[0].asDict().keys() == {"id", "t", "text", "a.b`c", "lang_pred", "score", "mixture"} and len(got) == 8 and all(isinstance(r.score, float) and r.text == 2 for r in got)
 
 
 def plain_mixture(model, text):
@@ -425,9 +425,9 @@ def test_segment_three_and_inclusion():
 
 
 def test_segment_columns(spark):
-    df = spark.createDataFrame([(1, "the cat", "own", 2), (1, "the cat", "own", 2)], "doc_id long, text string, samples string, ids int")
+    df = spark.createDataFrame([(1, "the cat", "own", 2), (1, "the cat", "own", 2)], "doc_id long, text string, samples string, ids int").withColumn("x.y", F.lit(1))
     found = segment_sampling.sample_segmentations(df, P.path("piece_bpe_32k.model"))
-    assert found.columns == ["doc_id", "text", "ids", "samples"]
+    assert found.columns == ["doc_id", "text", "ids", "x.y", "samples"]
     a, b = segment_sampling.shown(found).collect()
     assert a == b and a.n_samples == 2 and a.text == "the cat" and all(a.decoded)
 
