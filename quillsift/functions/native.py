@@ -3,6 +3,8 @@ push and prune around them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -204,16 +206,27 @@ def width_cluster(text: Column, short: int = 40, spread: int = 4) -> Column:
     """struct<cluster, long_lines, width>: the size of the largest cluster of lengths of long lines (those within `spread` above one), how many
     lines are long, and the upper end of that cluster, 0 under three lines. Of equal clusters a later one counts if it begins beyond
     the end of the one before. Null without long lines."""
-    sizes = F.array_sort(F.filter(F.transform(lines(text), lambda x: F.length(trimmed_right(x))), lambda n: n > short))
 
-    def cluster(n: Column) -> Column:
-        near = F.filter(sizes, lambda m: m.between(n, n + spread))
-        return F.struct(n.alias("first"), F.array_max(near).alias("last"), F.size(near).alias("n"))
+    def widest(sizes: Column) -> Column:
+        n, start = F.size(sizes), F.lit(0)
+        # a window of sorted sizes that grows by each one that fits, and moves on otherwise: its final size is the largest
+        most = F.aggregate(F.sequence(start, n - 1), start, lambda k, j: k + (F.get(sizes, j) - F.get(sizes, j - k) <= spread).cast("int"))
+
+        def last(k: Column) -> Column:
+            # no cluster is larger, so those of this size are the places whose k-th size still fits
+            ends = lambda w, i: F.when((F.get(sizes, i) > w) & (F.get(sizes, i + k - 1) - F.get(sizes, i) <= spread), F.get(sizes, i + k - 1)).otherwise(w)
+            return F.struct(k.alias("cluster"), n.alias("long_lines"), F.when(k >= 3, F.aggregate(F.sequence(start, n - k), start, ends)).otherwise(0).alias("width"))
+
+        return once(most, last)
+
+    long_lines = F.filter(lines(text), lambda x: F.length(x) > short)
+    sizes = F.array_sort(F.filter(F.transform(long_lines, lambda x: F.length(trimmed_right(x))), lambda n: n > short))
+    return once(sizes, lambda x: F.when(F.size(x) > 0, widest(x)))
+
 
-    found = F.transform(F.array_distinct(sizes), cluster)
-    most = F.array_max(F.transform(found, lambda c: c["n"]))
-    width = F.aggregate(F.filter(found, lambda c: c["n"] == most), F.lit(0), lambda w, c: F.when(c["first"] > w, c["last"]).otherwise(w))
-    return F.when(F.size(sizes) > 0, F.struct(most.alias("cluster"), F.size(sizes).alias("long_lines"), F.when(most >= 3, width).otherwise(0).alias("width")))
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), with c computed once: an expression that stands in a lambda is computed for each element otherwise."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
 def wrapped_commands(text: Column) -> Column:

@@ -222,7 +222,8 @@ b AS (SELECT * FROM m JOIN t USING (doc_id))"""
 @query(_WIDTHS + " SELECT doc_id, cluster::INT AS cluster, long_lines::INT AS long_lines, CASE WHEN cluster >= 3 THEN width ELSE 0 END::INT AS width FROM b")
 def width_clusters(spark, sf_dir):
     """The largest cluster of line lengths of each document, of which the unwrapper takes the terminal's width: a fold within the row."""
-    return docs(spark, sf_dir).select("doc_id", native.width_cluster(F.col("text")).alias("w")).where("w is not null").select("doc_id", "w.*")
+    found = docs(spark, sf_dir).select("doc_id", F.array(native.width_cluster(F.col("text"))).alias("w"))
+    return found.select("doc_id", F.inline(F.filter("w", lambda w: w.isNotNull())))  # a filter would compute it once more
 
 
 @query(_WIDTHS + " SELECT doc_id, CASE WHEN cluster >= 3 THEN width ELSE 0 END::INT AS width FROM documents LEFT JOIN b USING (doc_id)")
