@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import TABLE_DDL, extract_table
 
+_STRINGS = pa.list_(pa.field("element", pa.string()))
+#: TABLE_DDL as Arrow has it.
+TABLE_TYPE = pa.struct([("detected", pa.bool_()), ("format", pa.string()), ("confidence", pa.float32()), ("rows", pa.list_(pa.field("element", _STRINGS))), ("warnings", _STRINGS)])
+#: Texts of which a worker holds the tables at once.
+STEP_ROWS = 64
+
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row a file: path, text. Files that aren't UTF-8 are an error."""
@@ -69,18 +76,23 @@ def candidate_column(html: Column, plain: Column) -> Column:
     return run(html, plain)
 
 
-def table_column(text: Column) -> Column:
-    """The table of a text (TABLE_DDL)."""
-    from pyspark.sql.functions import pandas_udf
+def tables_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """The tables (TABLE_DDL) of STEP_ROWS texts after the other."""
+    for at in range(0, len(texts), STEP_ROWS):
+        found = [extract_table(t or "") for t in texts.slice(at, STEP_ROWS).to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([getattr(t, f.name) for t in found], f.type) for f in TABLE_TYPE], fields=list(TABLE_TYPE))
 
-    @pandas_udf(TABLE_DDL)
-    def run(s):
-        import pandas as pd
 
-        found = [extract_table(t or "") for t in s]
-        return pd.DataFrame({"detected": [t.detected for t in found], "format": [t.format for t in found], "confidence": [t.confidence for t in found], "rows": [t.rows for t in found], "warnings": [t.warnings for t in found]})
+def table_column(text: Column) -> Column:
+    """The table of a text (TABLE_DDL). A worker holds the tables of STEP_ROWS texts as objects, and gives them on before the next."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf(TABLE_DDL)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield from tables_of(batch)
 
-    return run(text)
+    return run.asNondeterministic()(text)  # so that no filter that Spark infers parses the texts once more
 
 
 def table_json(table: Column) -> Column:
