@@ -11,7 +11,7 @@ to 2 bits (Gray code), and a step in time gives one packed 32-bit integer.
 
 Alignment: recordings with equal integers are one class (its smallest id stands for it); if they have under RUN integers, only
 those of equal media are, as so few are too few to tell recordings apart. Runs of RUN consecutive integers are hashed; a class's marks are
-its smallest hashes: all in the lowest 1 / SAMPLE of the hashes, and LEAST at least. Two classes are aligned by the offsets of their equal runs (a
+all of them (sample=n: its smallest hashes, those in the lowest 1 / n and `least` at least, which judge pairs near the threshold by chance). Two classes are aligned by the offsets of their equal runs (a
 run that repeats votes with its first place): of each bin of the offset histogram, fullest first, the stretch from its first to its last vote
 counts if the share of bit errors in it is max_ber at most. They are linked if such stretches cover half of the longer one
 and they share `shared` per cent of the marks of the one that has more. Linked classes are one component.
@@ -46,8 +46,8 @@ from .near_dedup import contract, few, rest, stars
 
 CLASSES, WINDOW, RUN, BLOCK = 12, 4, 4, 8192
 MAX_BER = 0.2
-#: Marks: one run in SAMPLE, LEAST at least.
-SAMPLE, LEAST = 64, 24
+#: Marks: one run in SAMPLE, LEAST at least. 1: every run, so that no link that meets the threshold is left out.
+SAMPLE, LEAST = 1, 24
 #: Samples of a word, its chords, and silence.
 TONE = 64
 CHORDS = tuple(itertools.combinations(range(CLASSES), 3))
@@ -350,7 +350,7 @@ def recordings(media: DataFrame, *, id_col: str = "media_id", media_col: str = "
     """One row per row of media: media_id, n_prints, fingerprint (hex), class_id, component_id (the smallest id of the linked classes), match_id (the class it
     was aligned with), offset (steps by which it starts later in that one), shared (votes), overlap, bit_errors, aligned (linked to match_id).
 
-    sample=1 makes every run a mark, so that the marks lose nothing."""
+    sample over 1 takes some of the runs for marks: cheaper, and wrong about links near the threshold."""
     how = how or options()
     shared = how["shared"]
 

@@ -191,6 +191,20 @@ def test_tones_recall(spark):
     assert all(r.component_id >= i - i % 2 for i, r in got.items())
 
 
+def test_links_near_the_threshold(spark):
+    """Pairs that share 60 per cent of all their runs and more are linked, whatever their smallest hashes are; those under it aren't."""
+    g, rows, want = random.Random(7), [], {}
+    p = chroma.Printer(2048, 2 * chroma.TONE, chroma.TONE, 500.0, 1024.0)
+    for n in range(60):
+        words = [f"w{g.randrange(10**9)}" for _ in range(200)]
+        cut = g.randrange(50, 100)
+        rows += [(2 * n, " ".join(words)), (2 * n + 1, " ".join(words[cut:] + [f"v{g.randrange(10**9)}" for _ in range(cut)]))]
+        x, y = (p.prints(chroma.Tones(*common.text_bytes(pa.array([t])), 2048, 1, p.least))[0] for _, t in rows[-2:])
+        want[n] = plain(x, y, chroma.MAX_BER, 1, 0, 60)["linked"]
+    got = {r.media_id: r for r in chroma.recordings(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", media_col="text", how=chroma.TEXT).collect()}
+    assert 5 < sum(want.values()) < 55 and {n: got[2 * n + 1].component_id == 2 * n for n in want} == want
+
+
 @pytest.mark.parametrize("how", [{"kind": "mp3"}, {"kind": "tones", "hop": 100}])
 def test_options(how):
     with pytest.raises(ValueError):
