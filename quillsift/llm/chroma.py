@@ -21,8 +21,10 @@ different components that share one of their rarest marks, as many as classes ca
 filters, as in near_dedup). So no link is lost, no pair is tested whose link could not change a component, and a passage that many
 recordings hold makes no pairs by itself, as its marks aren't rare.
 
-Frames of texts that hold the same two chords are transformed once. Integers are made in blocks of BLOCK, so a worker holds a recording's bytes, its integers, and one block. They aren't written for all
-recordings: those that have a mark in common with another are read and printed once more.
+Frames of texts that hold the same two chords are transformed once. Integers are made in blocks of BLOCK, so a worker holds a recording's bytes, its integers, and one block. They aren't written:
+those that have a mark in common with another are read and printed once more. Marks aren't written either: their first 40 bits go to 512 shards
+in compressed blobs (packed_marks()), and what comes out is the marks that several rows have. Marks that differ but begin alike count as one there,
+which makes more candidates and no fewer; links are judged by all 64 bits.
 
 Nulls: null media has no integers (n_prints 0), no fingerprint and no match; null ids never stand for a class that has
 another id. Empty media: likewise. Recordings shorter than a window are padded with silence to one. Very long recordings: whole.
@@ -38,16 +40,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, drop, map_batches, materialise, mix64, text_bytes, word_hashes, word_starts
-from .near_dedup import contract, few, rest, stars
+from .common import LOWER, drop, give_back, map_batches, materialise, mix64, pa_schema, plain, small_batches, sweep, text_bytes, word_hashes, word_starts
+from .near_dedup import contract, few, rest
 
 CLASSES, WINDOW, RUN, BLOCK = 12, 4, 4, 8192
 MAX_BER = 0.2
 #: Marks: one run in SAMPLE, LEAST at least. 1: every run, so that no link that meets the threshold is left out.
 SAMPLE, LEAST = 1, 24
+#: Marks are dealt by their first KEY_BITS bits: to shards, in blobs of one block of rows each. A block has HELD marks, or its rows fill two bytes.
+KEY_BITS, SHARD_BITS, HELD, BLOCK_ROWS = 40, 9, 1 << 21, 1 << 16
 #: Samples of a word, its chords, and silence.
 TONE = 64
 CHORDS = tuple(itertools.combinations(range(CLASSES), 3))
@@ -253,9 +258,118 @@ def align(x: np.ndarray, y: np.ndarray, max_ber: float, per_cent: int, sample: i
     return (best or fullest) | {"linked": bool(linked)}
 
 
+# ---- marks on their way to those they may be equal to
+
+
+def packed_marks(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """(shard, blob) of the first KEY_BITS bits of the marks of each of the rows of a block: gaps of the sorted keys and numbers of rows, byte by
+    byte, compressed. About 4 bytes a mark."""
+    flat = np.concatenate(found)
+    row = np.repeat(np.arange(len(found), dtype=np.uint64), [len(x) for x in found])
+    flat = np.sort(flat >> np.uint64(64 - KEY_BITS) << np.uint64(64 - KEY_BITS) | row)
+    bounds = np.searchsorted(flat, np.arange(1 << SHARD_BITS, dtype=np.uint64) << np.uint64(64 - SHARD_BITS)).tolist() + [len(flat)]
+    key = (flat << np.uint64(SHARD_BITS) >> np.uint64(64 - KEY_BITS + SHARD_BITS)).astype(np.uint32)
+    planes = np.diff(key, prepend=key[:1]).view(np.uint8).reshape(-1, 4)
+    rows = flat.astype(np.uint16).view(np.uint8).reshape(-1, 2)
+    out = []
+    for shard, (lo, hi) in enumerate(itertools.pairwise(bounds)):
+        if lo < hi:
+            first = key[lo : lo + 1].view(np.uint8)
+            own = np.concatenate([planes[lo:hi].T.ravel(), rows[lo:hi].T.ravel()])
+            own[: 4 * (hi - lo) : hi - lo] = first  # the first gap is from the shard's start
+            out.append((shard, (hi - lo).to_bytes(4, "little") + pa.compress(own, "zstd", asbytes=True)))
+    return out
+
+
+def unpacked_marks(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a blob within its shard, sorted, and the number of each one's row in its block."""
+    n = int.from_bytes(blob[:4], "little")
+    own = np.frombuffer(pa.decompress(blob[4:], 6 * n, "zstd", asbytes=True), np.uint8)
+    gaps = np.ascontiguousarray(own[: 4 * n].reshape(4, n).T).view(np.uint32).ravel()
+    return np.cumsum(gaps, dtype=np.uint32), np.ascontiguousarray(own[4 * n :].reshape(2, n).T).view(np.uint16).ravel()
+
+
+def shared_keys(shard: int, blocks: list[int], blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the marks of a shard that several rows have. A row's marks with the same first bits count apart, as first, second, ..., so
+    that two rows have as many keys in common as marks at least."""
+    parts = [unpacked_marks(b) for b in blobs]
+    key = np.concatenate([k for k, _ in parts])
+    row = np.concatenate([r.astype(np.int64) + (b * BLOCK_ROWS) for b, (_, r) in zip(blocks, parts, strict=True)])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    same = key[1:] == key[:-1]
+    again = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    key, row = key[again].astype(np.int64), row[order[again]]
+    order = np.lexsort((row, key))
+    key, row = key[order], row[order]
+    first = np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)]
+    at = np.flatnonzero(first)
+    nth = np.arange(len(key)) - np.repeat(at, np.diff(np.append(at, len(key))))
+    # rows, not marks, that have the key: of one row's own marks none is shared
+    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]) - 1
+    several = np.bincount(group, first)[group] > 1 if len(key) else np.empty(0, bool)
+    return row[several], (((np.int64(shard) << (KEY_BITS - SHARD_BITS)) + key) << 23 | nth)[several]
+
+
+def _marked(media: DataFrame, how: dict, id_col: str, media_col: str, sample: int, least: int) -> DataFrame:
+    """Written: a row (media_id, n_prints, fingerprint, n: its marks, row: its number) for each row of media, with key null, and (row, key) for
+    the marks that several rows have. Recordings are printed once, and the marks go nowhere but to their shards."""
+    before = "shard int, block long, blob binary, media_id long, n_prints int, fingerprint binary, n int, row long"
+    after = "media_id long, n_prints int, fingerprint binary, n int, row long, key long"
+    dealt, made = pa_schema(media.sparkSession, before), pa_schema(media.sparkSession, after)
+    small_batches(media.sparkSession)
+    kind = how["kind"]
+
+    def filled(schema, size, **got):
+        return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in schema], schema=schema)
+
+    def deal(batches):
+        p = Printer(how["rate"], how["frame"], how["hop"], how["low"], how["high"])
+        block, held, size = TaskContext.get().partitionId() << 24, [], 0
+
+        def blobs():
+            got = packed_marks(held) if size else []
+            for at in range(0, len(got), 64):
+                part = got[at : at + 64]
+                yield filled(dealt, len(part), shard=[k for k, _ in part], block=[block] * len(part), blob=[b for _, b in part])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                column = batch.column("media").slice(at, 64)
+                got = p.prints(_media(kind, column, p))
+                if held and (size >= HELD or len(held) + len(got) > BLOCK_ROWS):
+                    yield from blobs()
+                    block, held, size = block + 1, [], 0
+                rows = [block * BLOCK_ROWS + len(held) + i for i in range(len(got))]
+                own = [marks(np.unique(runs(x)), sample, least) for x in got]
+                names = [_name(x, m) for x, m in zip(got, column, strict=True)]
+                yield filled(dealt, len(got), shard=[r % (1 << SHARD_BITS) for r in rows], media_id=batch.column("media_id").slice(at, 64), n_prints=[len(x) for x in got], fingerprint=names, n=[len(x) for x in own], row=rows)
+                held += own
+                size += sum(map(len, own))
+        yield from blobs()
+        give_back()
+
+    def meet(table):
+        info, sent = table.filter(table["blob"].is_null()), table.filter(table["blob"].is_valid())
+        out = [filled(made, len(info), **{c: info[c].combine_chunks() for c in ("media_id", "n_prints", "fingerprint", "n", "row")})]
+        if len(sent):
+            row, key = shared_keys(sent["shard"][0].as_py(), sent["block"].to_pylist(), sent["blob"].to_pylist())
+            out.append(filled(made, len(row), row=row, key=key))
+        return pa.Table.from_batches(out, schema=made)
+
+    own = plain(media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")))
+    return materialise(own.mapInArrow(deal, before).groupBy("shard").applyInArrow(meet, after), "marked")
+
+
 # ---- over a table
 
 
+def _media(kind: str, column: pa.Array, p: Printer) -> Pcm | Tones:
+    if kind == "tones":
+        return Tones(*text_bytes(column), p.rate, p.hop // TONE, p.least)
+    return Pcm([b or b"" for b in column.to_pylist()], 8 if kind == "pcm8" else 16, p.least)
+
+
 def _printed(media: DataFrame, how: dict, id_col: str, media_col: str, schema: str, emit: Callable) -> DataFrame:
     """emit(batch, blobs, prints) of each slice; prints as the options say."""
     kind = how["kind"]
@@ -265,11 +379,7 @@ def _printed(media: DataFrame, how: dict, id_col: str, media_col: str, schema: s
 
         def work(batch):
             column = batch.column("media")
-            if kind == "tones":
-                got = p.prints(Tones(*text_bytes(column), p.rate, p.hop // TONE, p.least))
-            else:
-                got = p.prints(Pcm([b or b"" for b in column.to_pylist()], 8 if kind == "pcm8" else 16, p.least))
-            return emit(batch, column, got)
+            return emit(batch, column, p.prints(_media(kind, column, p)))
 
         return work
 
@@ -307,33 +417,49 @@ def fingerprints(media: DataFrame, *, id_col: str = "media_id", media_col: str =
 
 
 def _prints_of(media: DataFrame, nodes: DataFrame, how: dict, id_col: str, media_col: str) -> DataFrame:
-    """(nid, prints) of the nodes (nid, fingerprint, class_id), from the recordings that stand for them."""
+    """prints and the columns of the nodes but fingerprint and class_id, from the recordings that stand for them: as often as those are repeated."""
     ids = few(nodes.select(F.col("class_id").alias("id")).distinct())
     chosen = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media"))
     chosen = chosen.join(ids, chosen["media_id"].eqNullSafe(ids["id"]), "left_semi")
     emit = lambda _, column, got: {"fingerprint": [_name(p, m) for p, m in zip(got, column, strict=True)], "prints": [p.astype("<u4").tobytes() for p in got]}
     read = _printed(chosen, how, "media_id", "media", "fingerprint binary, prints binary", emit)
-    found = read.join(few(nodes.select("fingerprint", "nid")), "fingerprint").groupBy("nid").agg(F.max("prints").alias("prints"))
-    return materialise(found, "prints")
+    return read.join(few(nodes.drop("class_id")), "fingerprint").drop("fingerprint")
+
 
+def _aligned(pairs: DataFrame, live: DataFrame, printed: Callable, max_ber: float, shared: int, sample: int, least: int) -> DataFrame:
+    """The alignments of the pairs (x, y): x, y, shared, offset, overlap, bit_errors, linked. A written table; deletes the one of the pairs.
 
-def _aligned(pairs: DataFrame, prints: DataFrame, max_ber: float, shared: int, sample: int, least: int) -> DataFrame:
-    """The alignments of the pairs (x, y): x, y, shared, offset, overlap, bit_errors, linked. A written table; deletes the one of the pairs."""
-    left, right = prints.select(F.col("nid").alias("x"), F.col("prints").alias("px")), prints.select(F.col("nid").alias("y"), F.col("prints").alias("py"))
-    centres = right.join(few(pairs.select("y").distinct()), "y", "left_semi")
-    both = left.join(few(pairs), "x").join(centres, "y").select("x", "y", "px", "py")
+    Only the prints of the ys are written; those of the xs go straight to them."""
+    of = live.withColumnRenamed("nid", "y").join(few(pairs.select("y").distinct()), "y", "left_semi")
+    centres = materialise(printed(of).groupBy("y").agg(F.max("prints").alias("py")), "centres")
+    sweep(pairs.sparkSession, now=True)
+    own = materialise(live.withColumnRenamed("nid", "x").join(few(pairs), "x"), "own")
+    both = printed(own).withColumnRenamed("prints", "px").join(centres, "y").select("x", "y", "px", "py")
     columns = ("shared", "offset", "overlap", "bit_errors", "linked")
 
     def make():
         def work(batch):
             found = [align(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), max_ber, shared, sample, least) for a, b in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True)]
-            there = pa.array([f is not None for f in found])
+            there = pa.array([f is not None for f in found], pa.bool_())
             return {c: batch.column(c).filter(there) for c in ("x", "y")} | {c: [f[c] for f in found if f] for c in columns}
 
         return work
 
-    out = materialise(map_batches(both, "x long, y long, shared int, offset int, overlap int, bit_errors int, linked boolean", make, rows=64), "alignments")
-    drop(pairs)
+    out = materialise(map_batches(both, "x long, y long, shared int, offset int, overlap int, bit_errors int, linked boolean", make, rows=64).distinct(), "alignments")
+    drop(pairs, centres, own)
+    sweep(out.sparkSession, now=True)
+    return out
+
+
+def _stars(held: DataFrame) -> DataFrame:
+    """(x, y), one pair a node: to the most central other node (by how many have its marks) that is the most central one of a mark. A written table."""
+    weights = materialise(held.groupBy("node").agg(F.sum("c").alias("weight")), "weights")
+    hubs = materialise(held.join(few(weights), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("hub")), "hubs")
+    sweep(held.sparkSession, now=True)
+    met = held.select("key", "node").join(hubs, "key").where("node != hub.node").groupBy("node").agg(F.max("hub").alias("hub"))
+    out = materialise(met.select(F.col("node").alias("x"), F.col("hub.node").alias("y")), "stars")
+    drop(weights, hubs)
+    sweep(out.sparkSession, now=True)
     return out
 
 
@@ -354,28 +480,34 @@ def recordings(media: DataFrame, *, id_col: str = "media_id", media_col: str = "
     how = how or options()
     shared = how["shared"]
 
-    def emit(batch, column, got):
-        return {"media_id": batch.column("media_id"), "n_prints": [len(p) for p in got], "fingerprint": [_name(p, m) for p, m in zip(got, column, strict=True)], "marks": [marks(np.unique(runs(p)), sample, least).view(np.int64) for p in got]}
-
-    rows = materialise(_printed(media, how, id_col, media_col, "media_id long, n_prints int, fingerprint binary, marks array<long>", emit), "rows")
-    one = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("media_id").alias("class_id"), F.first("marks").alias("marks"))
+    spark = media.sparkSession
+    mixed = _marked(media, how, id_col, media_col, sample, least)
+    sweep(spark, now=True)  # gives back what was dealt, here and below
+    rows = materialise(mixed.where("key is null").drop("key"), "rows")
+    one = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("media_id").alias("class_id"), F.min("row").alias("row"), F.first("n").alias("n"))
     # numbers in the order of fingerprints, so that ties don't depend on the run
-    parts = max(1, int(media.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = materialise(one.repartitionByRange(parts, "fingerprint").sortWithinPartitions("fingerprint").withColumn("nid", F.monotonically_increasing_id()), "classes")
-    keys = classes.select(F.col("nid").alias("node"), F.size("marks").alias("n"), F.explode("marks").alias("key"))
+    keys = mixed.where("key is not null").select("row", "key").join(few(classes.select("row", F.col("nid").alias("node"), "n")), "row").select("node", "n", "key")
     often = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    sweep(spark, now=True)
     held = materialise(keys.join(often, "key"), "held")
-    drop(often)
+    drop(often, mixed)
+    sweep(spark, now=True)
     live = materialise(classes.join(few(held.select(F.col("node").alias("nid")).distinct()), "nid", "left_semi").select("nid", "fingerprint", "class_id"), "live")
     labels = materialise(live.select(F.col("nid").alias("node"), F.col("nid").alias("label")), "labels")
-    prints = _prints_of(media, live, how, id_col, media_col)
-    found = _aligned(stars(held.select("node", "key"), labels), prints, max_ber, shared, sample, least)
+    printed = lambda nodes: _prints_of(media, nodes, how, id_col, media_col)
+    found = _aligned(_stars(held), live, printed, max_ber, shared, sample, least)
     labels = contract(labels, found.where("linked").select("x", "y"))
     rare = _rare(held, shared)
+    drop(held)
+    sweep(spark, now=True)
     needed = lambda a, b: F.ceil(F.greatest(a, b) * shared / 100)
-    more = _aligned(rest(rare, labels, shared, needed), prints, max_ber, shared, sample, least)
+    pairs = rest(rare, labels, shared, needed)
+    drop(rare)
+    sweep(spark, now=True)
+    more = _aligned(pairs, live, printed, max_ber, shared, sample, least)
     labels = contract(labels, more.where("linked").select("x", "y"))
-    drop(held, rare, prints)
 
     # the best alignment of each class, from either side
     back = lambda t: t.select(F.col("y").alias("x"), F.col("x").alias("y"), "shared", (-F.col("offset")).alias("offset"), "overlap", "bit_errors", "linked")

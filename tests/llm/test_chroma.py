@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -205,6 +206,45 @@ def test_links_near_the_threshold(spark):
     assert 5 < sum(want.values()) < 55 and {n: got[2 * n + 1].component_id == 2 * n for n in want} == want
 
 
+def test_marks_that_meet():
+    """Packed by blocks and met in shards, marks come out as the keys that several rows have; a row's own marks that begin alike count apart."""
+    g, cut = np.random.default_rng(2), np.uint64(2 ** (64 - chroma.KEY_BITS) - 1)
+    pool = g.integers(0, 2**64, 4000, dtype=np.uint64)
+    pool = np.concatenate([pool, pool[:500] ^ np.uint64(1), pool[:100] & ~cut, np.array([0, 1, 2**64 - 1], np.uint64)])
+    blocks = [[np.unique(g.choice(pool, n)) for n in g.integers(0, 300, 40)] for _ in range(3)] + [[np.empty(0, np.uint64), np.array([7, 2**64 - 1], np.uint64)]]
+    sent, want = {}, {}
+    for b, block in enumerate(blocks):
+        for shard, blob in chroma.packed_marks(block):
+            sent.setdefault(shard, []).append((b, blob))
+        for r, own in enumerate(block):
+            seen = {}
+            for m in own.tolist():
+                m >>= 64 - chroma.KEY_BITS
+                seen[m] = seen.get(m, -1) + 1
+                want.setdefault(m, []).append((b * chroma.BLOCK_ROWS + r, m << 23 | seen[m]))
+    expected = sorted(x for rows in want.values() if len({r for r, _ in rows}) > 1 for x in rows)
+    got = [pair for shard, x in sent.items() for pair in zip(*(v.tolist() for v in chroma.shared_keys(shard, [b for b, _ in x], [blob for _, blob in x])), strict=True)]
+    assert sorted(got) == expected and len(got) > 1000 and any(k & (1 << 23) - 1 for _, k in got)
+
+
+def test_marks_are_not_written(spark, monkeypatch):
+    """No table that the operator writes is as large as the marks of all recordings."""
+    g, sizes = random.Random(3), {}
+    rows = [(i, " ".join(f"w{g.randrange(10**9)}" for _ in range(400))) for i in range(200)]
+    rows += [(200 + i, t + " and more") for i, t in rows[:20]]
+
+    def weighed(df, label, write=chroma.materialise):
+        out = write(df, label)
+        path = out._table.removeprefix("file:")
+        sizes[label] = max(sizes.get(label, 0), sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet")))
+        return out
+
+    monkeypatch.setattr(chroma, "materialise", weighed)
+    got = {r.media_id: r for r in chroma.recordings(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", media_col="text", how=chroma.TEXT).collect()}
+    assert all(got[200 + i].component_id == i for i in range(20))
+    assert max(sizes.values()) < 8 * 390 * len(rows) / 2, sizes
+
+
 @pytest.mark.parametrize("how", [{"kind": "mp3"}, {"kind": "tones", "hop": 100}])
 def test_options(how):
     with pytest.raises(ValueError):
