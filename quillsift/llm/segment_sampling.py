@@ -23,6 +23,7 @@ of a new column is replaced. Repeated rows have equal samples, each row its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import IntTable, free_names, give_back, mix64, named, pa_schema, passing, plain, small_batches, text_bytes
 
 SPACE = "▁"
-SLICE_CHARS = 60_000
+SLICE_CHARS = 120_000
 #: Rows (places of distinct chunks) that a task remembers: 16 arcs of 6 bytes each.
-HELD_ROWS, SLOT_BITS = 600_000, 19
+HELD_ROWS, SLOT_BITS = 1_200_000, 20
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = -np.inf
 
@@ -119,8 +120,7 @@ class Lattice:
         new, own = miss[first[order]], own[order]
         start = np.cumsum(own) - own
         to = self.used + int(own.sum())
-        for store, got in zip(self.held, self._arcs(starts[new], own, start, cp), strict=True):
-            store[self.used : to] = got
+        self._arcs(starts[new], own, start, cp, *(store[self.used : to] for store in self.held))
         rows = np.empty(len(order), np.int64)
         rows[order] = self.used + start
         at[miss] = rows[which]
@@ -128,8 +128,8 @@ class Lattice:
         self.used = to
         return at
 
-    def _arcs(self, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of chunks in order of falling size: piece and probability by row (place, chunk after chunk) and arc length.
+    def _arcs(self, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, cp: np.ndarray, pieces: np.ndarray, probs: np.ndarray) -> None:
+        """Of chunks in order of falling size: piece and probability by row (place, chunk after chunk) and arc length, into pieces and probs.
 
         Inside, rows stand by their distance t from the chunk's end, so that a step of the sums from the right is a slice."""
         m, rows, longest = self.most, int(sizes.sum()), int(sizes[0])
@@ -169,7 +169,8 @@ class Lattice:
             beta[at : at + n] = top + np.log(total)
         place = np.arange(rows) - np.repeat(first, sizes)
         order = off[np.repeat(sizes, sizes) - place - 1] + np.repeat(np.arange(len(sizes)), sizes)
-        return np.take(np.ascontiguousarray(piece.T), order, axis=0), np.take(np.ascontiguousarray(prob.T), order, axis=0)
+        for own, out in ((piece, pieces), (prob, probs)):
+            np.take(np.ascontiguousarray(own.T), order, axis=0, out=out, mode="clip")  # places are in range; checking them would cost a copy
 
     def decode(self, ids) -> str:
         return b"".join(self.piece_bytes.take(pa.array(ids, pa.int32())).to_pylist()).decode("utf-8", "replace")[1:]
@@ -206,6 +207,8 @@ class _Slice:
         h = np.add.reduceat((cp + np.uint64(7)) * power[np.arange(n) - np.repeat(s, size)], s) ^ mix64(size.astype(np.uint64))
         at = lattice.rows_of(mix64(h), size, s, cp)
         self.piece, self.prob = lattice.held
+        self.flat_piece, self.flat_prob, self.wide = self.piece.ravel(), self.prob.ravel(), self.prob.shape[1]
+        self.salt = self.key - self.doc[:-1].astype(np.uint64) * _M
         self.row = np.repeat(at, size) + np.arange(n) - np.repeat(s, size)
 
     def _unit(self, places: np.ndarray, docs: np.ndarray, pop: int, kind: int) -> np.ndarray:
@@ -215,31 +218,31 @@ class _Slice:
 
     def _halves(self, places: np.ndarray, docs: np.ndarray, pop: int) -> np.ndarray:
         """64 bits for (row key, place, pop): the upper half draws the arc at the place, the lower one the node beside it."""
-        return mix64(self.key[docs] + (places - self.doc[docs]).astype(np.uint64) * _M + np.uint64(pop * 0xD6E8FEB86659FD93 % 2**64))
+        return mix64(self.salt[docs] + places.astype(np.uint64) * _M + np.uint64(pop * 0xD6E8FEB86659FD93 % 2**64))
 
     def _follow(self, length: np.ndarray, bits: np.ndarray, places: np.ndarray, pop: int) -> None:
         """Draws arcs from each place to its chunk's end; keeps the bits of the places it comes by."""
         while len(places):
-            row = self.row[places]
+            at = self.row[places] * self.wide
             bits[places] = half = self._halves(places, self.doc_of[places], pop)
             u = ((half >> np.uint64(32)).astype(np.float64) + 0.5) * ((1 - 1e-6) / 2.0**32)
-            arc = np.zeros(len(places), np.int64)
-            more, sums = np.arange(len(places)), np.zeros(len(places))
-            for i in range(self.prob.shape[1] - 1):
-                sums += self.prob[row, i]
-                on = sums <= u[more]
-                more, row, sums = more[on], row[on], sums[on]
-                if not len(more):
+            arc, more, sums = np.zeros(len(places), np.int64), None, np.zeros(len(places))
+            for i in range(self.wide - 1):
+                sums += self.flat_prob[at]
+                on = np.flatnonzero(sums <= u)
+                if not len(on):
                     break
-                arc[more] += 1
+                more = on if more is None else more[on]
+                at, sums, u = at[on] + 1, sums[on], u[on]
+                arc[more] = i + 1
             length[places] = arc + 1
             end = self.end[places]
             places = places + arc + 1
             places = places[places < end]
 
-    def _truncated(self, mass: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """Gumbel maxima of nodes of log-mass `mass`, truncated at `top`."""
-        return -np.logaddexp(-top, np.log(-np.log(u)) - mass)
+    def _truncated(self, gumbel: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Gumbel maxima of nodes, truncated at `top`. It rises with the maximum, so the best node of a path is known before."""
+        return -np.logaddexp(-top, -gumbel)
 
     def run(self, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
         docs = len(self.doc) - 1
@@ -257,29 +260,37 @@ class _Slice:
             steps = np.flatnonzero(length)
             bound = np.searchsorted(steps, self.doc)
             sizes = np.diff(bound)
-            new = steps >= np.repeat(branch, sizes)
-            fresh = steps[new]
-            row, arc = self.row[steps], length[steps].astype(np.int64) - 1
-            r, c = row[new], arc[new]
-            p = self.prob[r, c].astype(np.float64)
+            arc = self.row[steps] * self.wide + length[steps] - 1
+            new = np.flatnonzero(steps >= np.repeat(branch, sizes)) if pop else slice(None)
+            fresh, c = steps[new], arc[new]
+            p = self.flat_prob[c].astype(np.float64)
             others = 1 - p  # the mass of the other arcs; where it would cancel, summed
             if len(sharp := np.flatnonzero(p > 0.99)):
-                beside = self.prob[r[sharp]]
-                beside[np.arange(len(sharp)), c[sharp]] = 0
+                r = c[sharp] // self.wide
+                beside = self.prob[r]
+                beside[np.arange(len(sharp)), c[sharp] - r * self.wide] = 0
                 others[sharp] = beside.sum(1)
-            lp = np.empty(len(steps))
-            lp[new] = np.log(p)
-            if old:
-                lp[~new] = np.concatenate(old)
+            if pop:
+                lp = np.concatenate(old) if old else np.empty(0)
+                whole = np.empty(len(steps))
+                is_old = np.ones(len(steps), bool)
+                is_old[new] = False
+                whole[is_old], whole[new] = lp, np.log(p)
+                lp = whole
+            else:
+                lp = np.log(p)
             total = np.cumsum(lp)
             base = np.where(bound[:-1] > 0, total[np.maximum(bound[:-1] - 1, 0)], 0.0)
             before = total - lp - np.repeat(base, sizes)
-            node = np.full(len(steps), _NEVER)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                node[new] = self._truncated(before[new] + np.log(others), np.repeat(value, sizes)[new], ((bits[fresh] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32)
-            pieces = self.piece[row, arc].astype(np.int32)
+            node = np.full(len(steps), _NEVER)  # not truncated: see above
+            with np.errstate(divide="ignore"):
+                u = ((bits[fresh] & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) / 2.0**32
+                node[new] = before[new] + np.log(others / -np.log(u))
+            pieces = self.flat_piece[arc].astype(np.int32)
             pieces[pieces == self.lat.none] = -1  # a character as bytes
-            for d in np.flatnonzero(alive).tolist():
+            live = np.flatnonzero(alive)
+            left = self._unit(branch[live], live, pop, 2).tolist() if pop else []
+            for i, d in enumerate(live.tolist()):
                 lo, hi = bound[d], bound[d + 1]
                 found[d].append([self._ids(steps[lo:hi], pieces[lo:hi]), float(total[hi - 1] - base[d]), float(value[d])])
                 if pop:  # what is left at the branching place
@@ -287,36 +298,37 @@ class _Slice:
                     at = lo + int(np.searchsorted(steps[lo:hi], j))
                     p = self.prob[self.row[j]].astype(np.float64)
                     p[taken] = 0
-                    node[at] = _NEVER
-                    if (mass := p.sum()) > 0:
-                        node[at] = self._truncated(before[at] + np.log(mass), value[d], self._unit(np.array([j]), np.array([d]), pop, 2)[0])
-            paths.append((length, steps, bound, node, lp))
+                    mass = float(p.sum())
+                    node[at] = before[at] + math.log(mass / -math.log(left[i])) if mass > 0 else _NEVER
+            paths.append((length, steps, bound, node, lp, value))
             # the next pop of each text; a text that is done has no path
-            best = np.stack([np.array([node[bound[d] : bound[d + 1]].max(initial=_NEVER) for d in range(docs)]) if (sizes := np.diff(bound)).min() == 0 else np.maximum.reduceat(node, bound[:-1]) for _, _, bound, node, _ in paths])
+            best = np.stack([self._truncated(np.array([node[bound[d] : bound[d + 1]].max(initial=_NEVER) for d in range(docs)]) if np.diff(bound).min() == 0 else np.maximum.reduceat(node, bound[:-1]), top) for _, _, bound, node, _, top in paths])
             on = np.argmax(best, 0)
             value = best[on, np.arange(docs)]
             alive &= value > _NEVER
             if pop == k - 1 or not alive.any():
                 break
             length, branch, old = np.zeros(n, np.uint8), np.full(docs, n), []
+            live, ats = np.flatnonzero(alive), []
+            for d in live.tolist():
+                _, steps, bound, node, _, _ = paths[on[d]]
+                ats.append(int(bound[d]) + int(np.argmax(node[bound[d] : bound[d + 1]])))
+                branch[d] = steps[ats[-1]]
+            drawn = self._unit(branch[live], live, pop + 1, 3).tolist()
             open_places = []
-            for d in np.flatnonzero(alive).tolist():
+            for d, at, j, u in zip(live.tolist(), ats, branch[live].tolist(), drawn, strict=True):
                 a, lo, hi = int(on[d]), int(self.doc[d]), int(self.doc[d + 1])
-                taken_length, steps, bound, node, lp = paths[a]
-                first = bound[d]
-                at = first + int(np.argmax(node[first : bound[d + 1]]))
-                j = int(steps[at])
+                taken_length, _, bound, node, lp, _ = paths[a]
                 node[at] = _NEVER
                 taken = spent[d].get(a, []) if a and self._branched(spent[d], a, j) else [int(taken_length[j]) - 1]
                 p = self.prob[self.row[j]].astype(np.float64)
                 p[taken] = 0
                 c = np.cumsum(p)
-                arc = int(np.searchsorted(c, c[-1] * self._unit(np.array([j]), np.array([d]), pop + 1, 3)[0] * (1 - 1e-9), side="right"))
+                arc = int(np.searchsorted(c, c[-1] * u * (1 - 1e-9), side="right"))
                 spent[d][pop + 1], spent[d][-pop - 1] = [*taken, arc], j
                 length[lo:j] = taken_length[lo:j]
-                old.append(lp[first:at])
+                old.append(lp[bound[d] : at])
                 length[j] = arc + 1
-                branch[d] = j
                 if j + arc + 1 < self.end[j]:
                     open_places.append(np.array([j + arc + 1]))
                 open_places.append(self.starts[np.searchsorted(self.starts, j + 1) : np.searchsorted(self.starts, hi)])

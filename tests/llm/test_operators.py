@@ -424,6 +424,17 @@ def test_segment_three_and_inclusion():
     assert [[s[0].tolist() for s in x] for x in lat.sample(["then", "other", "then"], np.array([7, 8, 7]), 3)][::2] == [[s[0].tolist() for s in lat.sample(["then"], np.array([7]), 3)[0]]] * 2
 
 
+def test_segment_truncates_the_best_nodes_only(monkeypatch):
+    """Truncated priorities are computed for the best node of each path, not for each place, and samples still come in their order."""
+    lat, seen, plain = segment_sampling.lattice_of(P.path("piece_bpe_32k.model"), 1.0), [], segment_sampling._Slice._truncated
+    monkeypatch.setattr(segment_sampling._Slice, "_truncated", lambda self, x, *more: seen.append(len(x)) or plain(self, x, *more))
+    texts = ["some words that stand in a text " * 20, "a", "日本x𓀀 ok " * 9]
+    got = lat.sample(texts, np.arange(3), 3)
+    assert sum(seen) <= 3 * (1 + 2 + 3)
+    for text, own in zip(texts, got, strict=True):
+        assert all(lat.decode(s[0]) == text for s in own) and len({tuple(s[0].tolist()) for s in own}) == len(own) and [s[2] for s in own] == sorted((s[2] for s in own), reverse=True)
+
+
 def test_segment_columns(spark):
     df = spark.createDataFrame([(1, "the cat", "own", 2), (1, "the cat", "own", 2)], "doc_id long, text string, samples string, ids int").withColumn("x.y", F.lit(1))
     found = segment_sampling.sample_segmentations(df, P.path("piece_bpe_32k.model"))
