@@ -34,6 +34,7 @@ Repeated rows get equal results. Empty tables give no rows. Extra columns are ig
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Callable
@@ -41,11 +42,11 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, drop, give_back, map_batches, materialise, mix64, pa_schema, plain, small_batches, sweep, text_bytes, word_hashes, word_starts
-from .near_dedup import contract, few, rest
+from .near_dedup import BROADCAST_IDS, contract, few, rest
 
 CLASSES, WINDOW, RUN, BLOCK = 12, 4, 4, 8192
 MAX_BER = 0.2
@@ -85,6 +86,12 @@ def filters() -> list[tuple[list[tuple[int, int, int, int, int]], float]]:
     return out
 
 
+def passed(bound: float) -> float:
+    """What a value is over if, rounded to 5 digits, it is over the bound: rounded, so that equal signals at other places have equal integers."""
+    k = round(bound * 1e5)
+    return (k + (k / 1e5 <= bound) - 0.5) / 1e5
+
+
 def fold_matrix(rate: int, frame: int, low: float, high: float) -> np.ndarray:
     """frame // 2 + 1 bins by 12 pitch classes."""
     hertz = np.arange(frame // 2 + 1) * rate / frame
@@ -116,6 +123,16 @@ class Pcm:
         """Nothing is known about which frames are the same."""
 
 
+@functools.lru_cache(4)
+def tones(rate: int) -> np.ndarray:
+    """The samples of each chord, and of silence."""
+    hertz = rate / 4 * 2 ** ((np.arange(CLASSES) + 0.5) / CLASSES)
+    wave = 100 * np.sin(2 * np.pi * hertz[:, None] * np.arange(TONE) / rate)
+    out = np.zeros((REST + 1, TONE), np.float32)
+    out[:REST] = wave[np.array(CHORDS)].sum(1)
+    return out
+
+
 class Tones:
     """Texts as chords: one slot of TONE samples a word, and rests before lines that would not begin at a whole step of `slots` slots."""
 
@@ -136,10 +153,19 @@ class Tones:
         self.codes = np.full(int(start[-1]), REST, np.uint8)
         self.codes[slot + np.repeat(start[:-1] - bounds[:-1] - rests[:-1], words)] = chord
         self.sizes = need * TONE
-        hertz = rate / 4 * 2 ** ((np.arange(CLASSES) + 0.5) / CLASSES)
-        wave = 100 * np.sin(2 * np.pi * hertz[:, None] * np.arange(TONE) / rate)
-        self.tones = np.zeros((REST + 1, TONE), np.float32)
-        self.tones[:REST] = wave[np.array(CHORDS)].sum(1)
+        self.tones = tones(rate)
+
+    @classmethod
+    def of(cls, slots: list[bytes], rate: int) -> Tones:
+        """Of what slots() gave."""
+        out = cls.__new__(cls)
+        out.codes, out.sizes, out.tones = np.frombuffer(b"".join(slots), np.uint8), np.array([len(x) for x in slots], np.int64) * TONE, tones(rate)
+        return out
+
+    def slots(self) -> list[bytes]:
+        """The chords of each text, a byte a slot: all that its integers are made of, in a quarter of their bytes."""
+        at = np.concatenate([[0], np.cumsum(self.sizes // TONE)]).tolist()
+        return [self.codes[lo:hi].tobytes() for lo, hi in itertools.pairwise(at)]
 
     def frames(self, starts: np.ndarray, size: int) -> np.ndarray:
         """len(starts) x size, as float32; starts and size are whole slots."""
@@ -154,8 +180,9 @@ class Tones:
 class Printer:
     def __init__(self, rate: int, frame: int, hop: int, low: float, high: float):
         self.rate, self.frame, self.hop, self.least = rate, frame, hop, frame + (WINDOW - 1) * hop
-        self.window, self.fold, self.filters = np.hanning(frame).astype(np.float32), fold_matrix(rate, frame, low, high), filters()
+        self.window, self.fold, self.filters = np.hanning(frame).astype(np.float32), fold_matrix(rate, frame, low, high), [(parts, tuple(map(passed, (-step, 0.0, step)))) for parts, step in filters()]
         self.known, self.rows = np.full((REST + 1) ** 2, -1, np.int64), np.empty((0, CLASSES), np.float32)
+        self.room = np.zeros((CLASSES + 1, 0))
 
     def image(self, media: Pcm | Tones, starts: np.ndarray) -> np.ndarray:
         """The pitch classes of the frames at rising starts: len(starts) x 12. Frames known to be the same are transformed once."""
@@ -179,18 +206,31 @@ class Printer:
         """The integers at the frames of an image at which a window begins, by its integral image: each filter is a few sums of
         shifted columns."""
         n = len(image) - WINDOW + 1
-        total = np.zeros((CLASSES + 1, len(image) + 1))
-        total[1:, 1:] = image.astype(np.float64).T.cumsum(0).cumsum(1)
-        out = np.zeros(n, np.uint32)
-        for parts, step in self.filters:
-            value = np.zeros(n)
+        if self.room.shape[1] <= len(image):
+            self.room = np.zeros((CLASSES + 1, len(image) + 1))
+        total = self.room[:, : len(image) + 1]  # its first row and column stay 0
+        columns = image.T.astype(np.float64, order="C")
+        for y in range(CLASSES):
+            if y:
+                columns[y] += columns[y - 1]
+            np.cumsum(columns[y], out=total[y + 1, 1:])
+        out, rows = np.zeros((4, n), np.uint8), {}
+        for i, (parts, (low, middle, high)) in enumerate(self.filters):
+            value = None
             for sign, y0, y1, x0, x1 in parts:
-                rows = total[y1] - total[y0]
-                value += sign * (rows[x1 : x1 + n] - rows[x0 : x0 + n])
-            value = np.round(value, 5)  # so that equal signals at other places have equal integers
-            level = (value > -step).astype(np.uint32) + (value > 0) + (value > step)
-            out = out << np.uint32(2) | (level ^ (level >> np.uint32(1)))
-        return out
+                if (y0, y1) not in rows:
+                    rows[y0, y1] = total[y1] - total[y0]
+                part = rows[y0, y1][x1 : x1 + n] - rows[y0, y1][x0 : x0 + n]
+                if abs(sign) != 1:
+                    part *= abs(sign)
+                value = part if value is None else np.add(value, part, out=value) if sign > 0 else np.subtract(value, part, out=value)
+            # Gray code of the number of bounds that are passed, which come in the order of low, middle, high
+            byte = out[3 - i // 4]
+            byte <<= 1
+            byte |= (value > middle).view(np.uint8)
+            byte <<= 1
+            byte |= ((value > low) ^ (value > high)).view(np.uint8)
+        return out.T.copy().view("<u4").ravel().astype(np.uint32, copy=False)
 
     def prints(self, media: Pcm | Tones) -> list[np.ndarray]:
         """The packed integers (uint32) of each recording; none for an empty one."""
@@ -230,13 +270,25 @@ def marks(distinct: np.ndarray, sample: int = SAMPLE, least: int = LEAST) -> np.
     return distinct[: max(below, least)]
 
 
-def align(x: np.ndarray, y: np.ndarray, max_ber: float, per_cent: int, sample: int = SAMPLE, least: int = LEAST) -> dict | None:
+def first_runs(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of runs, sorted, and the first place of each."""
+    h = runs(p)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    return h[first], order[first]
+
+
+def align(x: np.ndarray, y: np.ndarray, max_ber: float, per_cent: int, sample: int = SAMPLE, least: int = LEAST, of_y: tuple | None = None) -> dict | None:
     """How two recordings align; x[i] stands beside y[i + offset]. None if they have no run in common. shared: the votes of the fullest bin with a
-    stretch that counts, overlap and bit_errors: of that stretch; without one, those of the fullest bin."""
-    ux, ix = np.unique(runs(x), return_index=True)
-    uy, iy = np.unique(runs(y), return_index=True)
-    common, a, b = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-    if not len(common):
+    stretch that counts, overlap and bit_errors: of that stretch; without one, those of the fullest bin. of_y: first_runs(y), if they are known."""
+    ux, ix = first_runs(x)
+    uy, iy = first_runs(y) if of_y is None else of_y
+    b = np.searchsorted(uy, ux)
+    a = np.flatnonzero(np.append(uy, np.uint64(0))[b] == ux) if len(uy) else np.empty(0, np.int64)
+    a = a[b[a] < len(uy)]
+    b = b[a]
+    if not len(a):
         return None
     px, offset = ix[a], iy[b] - ix[a]
     bins, which, votes = np.unique(offset, return_inverse=True, return_counts=True)
@@ -253,7 +305,7 @@ def align(x: np.ndarray, y: np.ndarray, max_ber: float, per_cent: int, sample: i
             best = best or found
             in_x[lo:hi] = in_y[lo + o : hi + o] = True
     mx, my = marks(ux, sample, least), marks(uy, sample, least)
-    both = len(np.intersect1d(mx, my, assume_unique=True))
+    both = len(a) if len(mx) == len(ux) and len(my) == len(uy) else len(np.intersect1d(mx, my, assume_unique=True))
     linked = 2 * min(in_x.sum(), in_y.sum()) >= max(len(x), len(y)) and 100 * both >= per_cent * max(len(mx), len(my))
     return (best or fullest) | {"linked": bool(linked)}
 
@@ -312,13 +364,14 @@ def shared_keys(shard: int, blocks: list[int], blobs: list[bytes]) -> tuple[np.n
 
 
 def _marked(media: DataFrame, how: dict, id_col: str, media_col: str, sample: int, least: int) -> DataFrame:
-    """Written: a row (media_id, n_prints, fingerprint, n: its marks, row: its number) for each row of media, with key null, and (row, key) for
-    the marks that several rows have. Recordings are printed once, and the marks go nowhere but to their shards."""
-    before = "shard int, block long, blob binary, media_id long, n_prints int, fingerprint binary, n int, row long"
-    after = "media_id long, n_prints int, fingerprint binary, n int, row long, key long"
+    """Written: a row (media_id, digest, n_prints, fingerprint, n: its marks, row: its number) for each row of media, with key null, and (row, key,
+    c: by how many rows) for the marks that several rows have. Recordings are printed once, and the marks go nowhere but to their shards; those of media
+    that are equal byte by byte go once, and n is null for the others."""
+    before = "shard int, block long, blob binary, media_id long, digest binary, n_prints int, fingerprint binary, n int, row long"
+    after = "media_id long, digest binary, n_prints int, fingerprint binary, n int, row long, key long, c int"
     dealt, made = pa_schema(media.sparkSession, before), pa_schema(media.sparkSession, after)
     small_batches(media.sparkSession)
-    kind = how["kind"]
+    kind, none = how["kind"], np.empty(0, np.uint64)
 
     def filled(schema, size, **got):
         return pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(size, f.type) for f in schema], schema=schema)
@@ -341,9 +394,10 @@ def _marked(media: DataFrame, how: dict, id_col: str, media_col: str, sample: in
                     yield from blobs()
                     block, held, size = block + 1, [], 0
                 rows = [block * BLOCK_ROWS + len(held) + i for i in range(len(got))]
-                own = [marks(np.unique(runs(x)), sample, least) for x in got]
+                copy = batch.column("copy").slice(at, 64).to_pylist()
+                own = [marks(np.unique(runs(x)), sample, least) if not c else none for x, c in zip(got, copy, strict=True)]
                 names = [_name(x, m) for x, m in zip(got, column, strict=True)]
-                yield filled(dealt, len(got), shard=[r % (1 << SHARD_BITS) for r in rows], media_id=batch.column("media_id").slice(at, 64), n_prints=[len(x) for x in got], fingerprint=names, n=[len(x) for x in own], row=rows)
+                yield filled(dealt, len(got), shard=[r % (1 << SHARD_BITS) for r in rows], media_id=batch.column("media_id").slice(at, 64), digest=batch.column("digest").slice(at, 64), n_prints=[len(x) for x in got], fingerprint=names, n=[None if c else len(x) for x, c in zip(own, copy, strict=True)], row=rows)
                 held += own
                 size += sum(map(len, own))
         yield from blobs()
@@ -351,14 +405,24 @@ def _marked(media: DataFrame, how: dict, id_col: str, media_col: str, sample: in
 
     def meet(table):
         info, sent = table.filter(table["blob"].is_null()), table.filter(table["blob"].is_valid())
-        out = [filled(made, len(info), **{c: info[c].combine_chunks() for c in ("media_id", "n_prints", "fingerprint", "n", "row")})]
+        out = [filled(made, len(info), **{c: info[c].combine_chunks() for c in ("media_id", "digest", "n_prints", "fingerprint", "n", "row")})]
         if len(sent):
             row, key = shared_keys(sent["shard"][0].as_py(), sent["block"].to_pylist(), sent["blob"].to_pylist())
-            out.append(filled(made, len(row), row=row, key=key))
+            _, at, c = np.unique(key, return_inverse=True, return_counts=True)
+            c = c[at]
+            out.append(filled(made, int((c > 1).sum()), row=row[c > 1], key=key[c > 1], c=c[c > 1].astype(np.int32)))
         return pa.Table.from_batches(out, schema=made)
 
-    own = plain(media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")))
-    return materialise(own.mapInArrow(deal, before).groupBy("shard").applyInArrow(meet, after), "marked")
+    own = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media")).withColumn("digest", _digest("media"))
+    copies = own.where("digest is not null").groupBy("digest").agg(F.min("media_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").drop("rows")
+    copies = materialise(copies, "copies")
+    if copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        own = own.join(F.broadcast(copies), "digest", "left").withColumn("copy", F.col("first").isNotNull() & ~F.col("media_id").eqNullSafe(F.col("first")))
+    else:
+        own = own.withColumn("copy", F.lit(False))
+    out = materialise(plain(own.select("media_id", "media", "digest", "copy")).mapInArrow(deal, before).groupBy("shard").applyInArrow(meet, after), "marked")
+    drop(copies)
+    return out
 
 
 # ---- over a table
@@ -416,30 +480,61 @@ def fingerprints(media: DataFrame, *, id_col: str = "media_id", media_col: str =
     return _printed(media, how or options(), id_col, media_col, "media_id long, n_prints int, prints binary", emit)
 
 
-def _prints_of(media: DataFrame, nodes: DataFrame, how: dict, id_col: str, media_col: str) -> DataFrame:
-    """prints and the columns of the nodes but fingerprint and class_id, from the recordings that stand for them: as often as those are repeated."""
+def _digest(column: str) -> Column:
+    """128 bits of the media as they are."""
+    return F.unhex(F.md5(F.col(column).cast("binary")))
+
+
+def _carried_of(media: DataFrame, nodes: DataFrame, how: dict, id_col: str, media_col: str) -> DataFrame:
+    """carried, and the columns of the nodes but digest and class_id, from the recordings that stand for them: as often as those are repeated. What
+    is carried to another recording is the chords of a text, and the integers of others."""
     ids = few(nodes.select(F.col("class_id").alias("id")).distinct())
     chosen = media.select(F.col(id_col).cast("long").alias("media_id"), F.col(media_col).alias("media"))
-    chosen = chosen.join(ids, chosen["media_id"].eqNullSafe(ids["id"]), "left_semi")
-    emit = lambda _, column, got: {"fingerprint": [_name(p, m) for p, m in zip(got, column, strict=True)], "prints": [p.astype("<u4").tobytes() for p in got]}
-    read = _printed(chosen, how, "media_id", "media", "fingerprint binary, prints binary", emit)
-    return read.join(few(nodes.drop("class_id")), "fingerprint").drop("fingerprint")
+    chosen = chosen.join(ids, chosen["media_id"].eqNullSafe(ids["id"]), "left_semi").withColumn("digest", _digest("media"))
+
+    def make():
+        p = Printer(how["rate"], how["frame"], how["hop"], how["low"], how["high"])
 
+        def work(batch):
+            own = _media(how["kind"], batch.column("media"), p)
+            carried = own.slots() if isinstance(own, Tones) else [x.astype("<u4").tobytes() for x in p.prints(own)]
+            return {"media_id": batch.column("media_id"), "digest": batch.column("digest"), "carried": carried}
+
+        return work
 
-def _aligned(pairs: DataFrame, live: DataFrame, printed: Callable, max_ber: float, shared: int, sample: int, least: int) -> DataFrame:
+    read = map_batches(chosen, "media_id long, digest binary, carried binary", make, rows=64)
+    own = few(nodes.withColumnsRenamed({"class_id": "id", "digest": "of"}))
+    return read.join(own, (read["digest"] == own["of"]) & read["media_id"].eqNullSafe(own["id"])).drop("media_id", "digest", "id", "of")
+
+
+def _heard(how: dict, p: Printer, carried: list[bytes]) -> list[np.ndarray]:
+    """The integers of what was carried."""
+    return p.prints(Tones.of(carried, p.rate)) if how["kind"] == "tones" else [np.frombuffer(x, "<u4") for x in carried]
+
+
+def _aligned(pairs: DataFrame, live: DataFrame, carried: Callable, how: dict, max_ber: float, sample: int, least: int) -> DataFrame:
     """The alignments of the pairs (x, y): x, y, shared, offset, overlap, bit_errors, linked. A written table; deletes the one of the pairs.
 
-    Only the prints of the ys are written; those of the xs go straight to them."""
+    Only what the ys carry is written; that of the xs goes straight to them. A worker keeps the integers of the ys of its last slice: pairs come in their order."""
     of = live.withColumnRenamed("nid", "y").join(few(pairs.select("y").distinct()), "y", "left_semi")
-    centres = materialise(printed(of).groupBy("y").agg(F.max("prints").alias("py")), "centres")
+    centres = materialise(carried(of).groupBy("y").agg(F.max("carried").alias("cy")), "centres")
     sweep(pairs.sparkSession, now=True)
     own = materialise(live.withColumnRenamed("nid", "x").join(few(pairs), "x"), "own")
-    both = printed(own).withColumnRenamed("prints", "px").join(centres, "y").select("x", "y", "px", "py")
+    both = carried(own).withColumnRenamed("carried", "cx").join(centres, "y").select("x", "y", "cx", "cy").sortWithinPartitions("y")
     columns = ("shared", "offset", "overlap", "bit_errors", "linked")
 
     def make():
+        p, known = Printer(how["rate"], how["frame"], how["hop"], how["low"], how["high"]), {}
+
         def work(batch):
-            found = [align(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), max_ber, shared, sample, least) for a, b in zip(batch.column("px").to_pylist(), batch.column("py").to_pylist(), strict=True)]
+            nonlocal known
+            ys, cy = batch.column("y").to_pylist(), batch.column("cy")
+            places = {y: i for i, y in enumerate(ys)}
+            new = [y for y in places if y not in known]
+            got = _heard(how, p, [cy[places[y]].as_py() for y in new]) if new else []
+            known = {y: known[y] for y in places if y in known} | {y: (g, first_runs(g)) for y, g in zip(new, got, strict=True)}
+            xs = _heard(how, p, batch.column("cx").to_pylist())
+            found = [align(x, known[y][0], max_ber, how["shared"], sample, least, known[y][1]) for x, y in zip(xs, ys, strict=True)]
             there = pa.array([f is not None for f in found], pa.bool_())
             return {c: batch.column(c).filter(there) for c in ("x", "y")} | {c: [f[c] for f in found if f] for c in columns}
 
@@ -483,21 +578,22 @@ def recordings(media: DataFrame, *, id_col: str = "media_id", media_col: str = "
     spark = media.sparkSession
     mixed = _marked(media, how, id_col, media_col, sample, least)
     sweep(spark, now=True)  # gives back what was dealt, here and below
-    rows = materialise(mixed.where("key is null").drop("key"), "rows")
-    one = rows.where("fingerprint is not null").groupBy("fingerprint").agg(F.min("media_id").alias("class_id"), F.min("row").alias("row"), F.first("n").alias("n"))
+    rows = materialise(mixed.where("key is null").drop("key", "c"), "rows")
+    first = F.min(F.struct(F.col("media_id").isNull().alias("none"), "media_id", "digest")).alias("first")
+    one = rows.where("fingerprint is not null").groupBy("fingerprint").agg(first, F.min(F.when(F.col("n").isNotNull(), F.col("row"))).alias("row"), F.max("n").alias("n"))
+    one = one.select("fingerprint", "first.media_id", "first.digest", "row", "n").withColumnRenamed("media_id", "class_id")
     # numbers in the order of fingerprints, so that ties don't depend on the run
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     classes = materialise(one.repartitionByRange(parts, "fingerprint").sortWithinPartitions("fingerprint").withColumn("nid", F.monotonically_increasing_id()), "classes")
-    keys = mixed.where("key is not null").select("row", "key").join(few(classes.select("row", F.col("nid").alias("node"), "n")), "row").select("node", "n", "key")
-    often = materialise(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
-    sweep(spark, now=True)
-    held = materialise(keys.join(often, "key"), "held")
-    drop(often, mixed)
+    # c counts rows, those of one class too: for the order of the marks by it, and for which might be shared, more will do
+    held = mixed.where("key is not null").select("row", "key", "c").join(few(classes.select("row", F.col("nid").alias("node"), "n")), "row")
+    held = materialise(held.select("node", "n", "key", "c"), "held")
+    drop(mixed)
     sweep(spark, now=True)
-    live = materialise(classes.join(few(held.select(F.col("node").alias("nid")).distinct()), "nid", "left_semi").select("nid", "fingerprint", "class_id"), "live")
+    live = materialise(classes.join(few(held.select(F.col("node").alias("nid")).distinct()), "nid", "left_semi").select("nid", "digest", "class_id"), "live")
     labels = materialise(live.select(F.col("nid").alias("node"), F.col("nid").alias("label")), "labels")
-    printed = lambda nodes: _prints_of(media, nodes, how, id_col, media_col)
-    found = _aligned(_stars(held), live, printed, max_ber, shared, sample, least)
+    carried = lambda nodes: _carried_of(media, nodes, how, id_col, media_col)
+    found = _aligned(_stars(held), live, carried, how, max_ber, sample, least)
     labels = contract(labels, found.where("linked").select("x", "y"))
     rare = _rare(held, shared)
     drop(held)
@@ -506,7 +602,7 @@ def recordings(media: DataFrame, *, id_col: str = "media_id", media_col: str = "
     pairs = rest(rare, labels, shared, needed)
     drop(rare)
     sweep(spark, now=True)
-    more = _aligned(pairs, live, printed, max_ber, shared, sample, least)
+    more = _aligned(pairs, live, carried, how, max_ber, sample, least)
     labels = contract(labels, more.where("linked").select("x", "y"))
 
     # the best alignment of each class, from either side

@@ -245,6 +245,33 @@ def test_marks_are_not_written(spark, monkeypatch):
     assert max(sizes.values()) < 8 * 390 * len(rows) / 2, sizes
 
 
+def test_what_travels(spark, monkeypatch):
+    """Marks of equal texts go once, and texts go to each other as chords, a byte a word. Ids that are null or repeated change no class."""
+    g, seen = random.Random(5), {}
+    texts = [" ".join(f"w{g.randrange(10**9)}" for _ in range(400)) for _ in range(100)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None if i % 3 == 0 else 200 + i, t) for i, t in enumerate(texts)]
+    near = [(500 + i, t + " and more") for i, t in enumerate(texts[:20])] + [(500, texts[1] + " or less"), (600, texts[2].upper()), (600, None), (600, "")]
+
+    def watched(df, label, write=chroma.materialise):
+        out = write(df, label)
+        path = out._table.removeprefix("file:")
+        keys = out.where("key is not null").count() if label == "marked" else 0
+        seen.setdefault(label, (keys, sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))))
+        return out
+
+    monkeypatch.setattr(chroma, "materialise", watched)
+    find = lambda rows: sorted(((r.media_id, r.class_id, r.component_id, r.aligned) for r in chroma.recordings(spark.createDataFrame(rows, "doc_id long, text string"), id_col="doc_id", media_col="text", how=chroma.TEXT).collect()), key=str)
+    assert find(rows) == sorted(((i, texts.index(t), texts.index(t), False) for i, t in rows), key=str)
+    assert seen.pop("marked")[0] == 0
+    got = find(rows + near)
+    assert [r for r in got if r[0] == 500] == [(500, 500, 0, True), (500, 500, 1, True)] and all((500 + i, 500 + i, i, True) in got for i in range(1, 20))
+    assert [r for r in got if r[0] == 600] == [(600, 2, 2, True), (600, 600, 600, False), (600, 600, 600, False)]
+    assert seen["centres"][1] < 2 * 400 * 21 + 4000, seen
+    texts = pa.array(["one two three\nfour " * 9, None, "", "a"])
+    t, p = chroma.Tones(*common.text_bytes(texts), 2048, 4, 5 * chroma.TONE), chroma.Printer(2048, 128, 64, 500.0, 1024.0)
+    assert [x.tolist() for x in p.prints(chroma.Tones.of(t.slots(), 2048))] == [x.tolist() for x in p.prints(t)]
+
+
 @pytest.mark.parametrize("how", [{"kind": "mp3"}, {"kind": "tones", "hop": 100}])
 def test_options(how):
     with pytest.raises(ValueError):
